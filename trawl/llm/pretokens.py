@@ -26,6 +26,16 @@ BEYOND = re.compile("[^\u0000-ÿ]")
 
 #: Longer pre-tokens are encoded each time and never kept.
 LONGEST_KEPT = 48
+#: Entries of a worker's cache: at most some 200 MB.
+MOST_KEPT = 1_000_000
+
+
+@cache
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be printed, else one from U+0100 on."""
+    shown = [x for x in range(256) if 0x21 <= x <= 0x7E or 0xA1 <= x <= 0xAC or x >= 0xAE]
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: x for x in shown} | {x: 0x100 + k for k, x in enumerate(hidden)}
 
 
 def kind_of(tokenizer) -> str | None:
@@ -50,12 +60,13 @@ class Encoder:
     outside; what it lacks is encoded once and kept in a cache of at most
     ``most`` entries, which is emptied when full."""
 
-    def __init__(self, path: str, most: int = 300_000, known: dict | None = None, lengths: bool = False):
+    def __init__(self, path: str, most: int = MOST_KEPT, known: dict | None = None, lengths: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind_of(self.tokenizer)
         self.split = re.compile(SPLITS[self.kind]).findall if self.kind else None
+        self.model = self.tokenizer.model
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.lengths, self.most = lengths, most
@@ -70,6 +81,11 @@ class Encoder:
 
         return array(self.code, ids).tobytes()
 
+    def piece(self, piece: str):
+        """The ids of one pre-token, straight from the merges."""
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(byte_letters()))
+        return len(found) if self.lengths else self.packed([x.id for x in found])
+
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, or None if the library has to split this text."""
         if not self.split or BEYOND.search(text) or any(x in text for x in self.added):
@@ -94,7 +110,7 @@ class _Kept(dict):
         self.owner, self.first = owner, first
 
     def __missing__(self, piece: str):
-        value = self.owner.whole(piece)
+        value = self.owner.piece(piece)
         if len(piece) <= LONGEST_KEPT:
             self[piece] = value
         return value
@@ -105,6 +121,6 @@ class _Kept(dict):
 
 
 @cache
-def worker_encoder(path: str, lengths: bool = False, most: int = 300_000) -> Encoder:
+def worker_encoder(path: str, lengths: bool = False, most: int = MOST_KEPT) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
     return Encoder(path, most, lengths=lengths)

@@ -52,7 +52,7 @@ def frequent_lengths(texts: DataFrame, text_col: str, tokenizer_path: str, table
         .groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size).collect()
     )
     encoder = pretokens.Encoder(tokenizer_path, lengths=True)
-    return {r.piece: encoder.whole(r.piece) for r in rows}
+    return {r.piece: encoder.piece(r.piece) for r in rows}
 
 
 def count_tokens(
@@ -85,5 +85,5 @@ def _encoder(path: str, table) -> pretokens.Encoder:
     known = table.value
     if (path, id(known)) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, id(known)] = pretokens.Encoder(path, len(known) + 300_000, known, lengths=True)
+        _ENCODERS[path, id(known)] = pretokens.Encoder(path, len(known) + pretokens.MOST_KEPT, known, lengths=True)
     return _ENCODERS[path, id(known)]
