@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this folder with ``QUERIES`` (name to function of a session and a folder) and, where SQL serves, ``ORACLES``.
-MODULES = ("q_warc", "q_rarefeatures", "q_packing", "q_mixing", "q_langid", "q_simhash", "q_secretscan", "q_covertree", "q_tokencount")
+MODULES = ("q_warc", "q_rarefeatures", "q_packing", "q_cotraining", "q_mixing", "q_langid", "q_simhash", "q_secretscan", "q_covertree", "q_tokencount")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
