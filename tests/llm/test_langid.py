@@ -34,12 +34,10 @@ def test_counts_equal_brute_force(spark, monkeypatch):
 
 
 def test_known_words_then_shorter_and_shorter_grams():
-    one = np.array
-    model = langid.Model(["a", "b"], {"dog": one([-1.0, -2.0])}, {"<cat": one([-5.0, -1.0]), "cat>": one([-3.0, -3.0]), "at": one([-9.0, -1.0]), "z": one([-2.0, -1.0])}, np.zeros(2))
-    assert list(model.score_of("dog")) == [-1, -2]
-    assert list(model.score_of("cat")) == [-4, -2]  # the mean of both of four letters
-    assert list(model.score_of("bath")) == [-9, -1]  # only one of two letters is known
-    assert list(model.score_of("zo")) == [-2, -1] and list(model.score_of("qq")) == [0, 0]
+    grams = {"<cat": [-5.0, -1.0], "cat>": [-3.0, -3.0], "at": [-9.0, -1.0], "z": [-2.0, -1.0]}
+    model = langid.Model(["a", "b"], {"dog": 0}, np.array([[-1.0, -2.0]]), {g: k for k, g in enumerate(grams)}, np.array(list(grams.values())), np.zeros(2))
+    assert model.scores_of(["cat", "bath", "zo", "qq"]).tolist() == [[-4, -2], [-9, -1], [-2, -1], [0, 0]]  # the mean of both of four letters; only one of two; a letter; none
+    assert model.scores_of(["qq"]).tolist() == [[0, 0]]
     lang, score = model.predict("Dog dog")
     assert lang == "a" and score == pytest.approx(1 / (1 + math.exp(-2)))
     assert model.predict("qq")[0] == "a"  # a tie

@@ -41,7 +41,7 @@ WORDS, GRAMS, LONGEST = 200_000, 100_000, 4
 #: Words longer than this are scored but not kept, and count for the model by their first and last letters only.
 LONGEST_WORD = 40
 #: Unseen words that a worker remembers, and counters that a task holds before it hands them on.
-REMEMBERED, HELD = 200_000, 400_000
+REMEMBERED, HELD = 400_000, 400_000
 SMOOTH = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -107,52 +107,68 @@ def grams(word: str) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams, a column for each language."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], tables: dict[str, np.ndarray], prior: np.ndarray):
-        self.langs, self.words, self.tables, self.prior = langs, words, tables, prior
-        self.kept: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)))
-
-    def __getstate__(self):
-        return self.langs, self.words, self.tables, self.prior
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def score_of(self, word: str) -> np.ndarray:
-        """The word's own scores, or those of its longest known n-grams."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        known, by_length = self.tables, {}
-        for gram in grams(word):
-            if (row := known.get(gram)) is not None:
-                by_length.setdefault(len(gram), []).append(row)
-        return np.mean(by_length[max(by_length)], axis=0) if by_length else np.zeros(len(self.langs))
+    """Log frequencies: ``words`` and ``tables`` (n-grams) give rows of the matrices, which have a column for each language."""
+
+    def __init__(self, langs: list[str], words: dict[str, int], word_rows: np.ndarray, tables: dict[str, int], gram_rows: np.ndarray, prior: np.ndarray):
+        self.langs, self.words, self.word_rows, self.tables, self.gram_rows, self.prior = langs, words, word_rows, tables, gram_rows, prior
+        self.forget()
+
+    def __reduce__(self):
+        return Model, (self.langs, self.words, self.word_rows, self.tables, self.gram_rows, self.prior)
+
+    def forget(self) -> None:
+        """Empties the memory of unseen words; known words are its first rows."""
+        self.kept, self.rows = dict(self.words), self.word_rows
+
+    def longest_known(self, word: str) -> list[int]:
+        """Rows of the word's known n-grams of the greatest length that has any."""
+        short = word if len(word) <= LONGEST_WORD else word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
+        edged, known = f"<{short}>", self.tables
+        for n in range(LONGEST, 1, -1):
+            if found := [known[g] for g in (edged[k : k + n] for k in range(len(edged) - n + 1)) if g in known]:
+                return found
+        return [known[g] for g in short if g in known]
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words, a row each."""
+        found = [self.longest_known(w) for w in words]
+        sizes = np.array([len(x) for x in found])
+        out = np.zeros((len(words), len(self.langs)))
+        some = sizes > 0
+        if some.any():
+            flat = np.fromiter((k for x in found for k in x), np.int64, int(sizes.sum()))
+            out[some] = np.add.reduceat(self.gram_rows[flat], (sizes.cumsum() - sizes)[some]) / sizes[some, None]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = LETTERS.findall(text.lower()) if text else []
         if not found or not self.langs:
             return "und", 0.0
-        if len(self.kept) > REMEMBERED:
-            self.kept, self.rows = {}, self.rows[:0]
-        kept, new = self.kept, []
-        for word in set(found).difference(kept):
-            kept[word] = len(kept)
-            new.append(self.score_of(word))
-        if new:
-            self.grow(new, len(kept))
+        if len(self.kept) > len(self.words) + REMEMBERED:
+            self.forget()
+        kept = self.kept
+        if new := list(set(found).difference(kept)):
+            size = len(kept)
+            if size + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:size], np.zeros((max(4096, size // 2, len(new)), len(self.langs)))])
+            self.rows[size : size + len(new)] = self.scores_of(new)
+            kept.update(zip(new, range(size, size + len(new)), strict=True))
         total = self.rows[np.fromiter(map(kept.__getitem__, found), np.int64, len(found))].sum(0) + self.prior
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
-    def grow(self, new: list, size: int) -> None:
-        if size > len(self.rows):
-            wider = np.zeros((max(1024, 2 * size), len(self.langs)))
-            wider[: len(self.rows)] = self.rows
-            self.rows = wider
-        self.rows[size - len(new) : size] = new
+
+def at_most(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, down to the smallest step of a histogram that keeps them within ``most``.
+    Nothing is sorted, and no task gathers candidates."""
+    step = F.floor(F.log2(count) * 32)
+    kept, floor = 0, None
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
+        kept += r["count"]
+        if kept > most:
+            break
+        floor = r.step
+    return df.where(step >= floor) if floor is not None else df.limit(0)
 
 
 def learn(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> Model:
@@ -163,21 +179,22 @@ def learn(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> M
     langs = sorted(r.lang for r in prior_rows)
     shares = {r.lang: r["count"] for r in prior_rows}
     if not langs:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros(0))
 
-    def frequencies(df: DataFrame, name: str, most: int, size: Column) -> dict[str, np.ndarray]:
-        totals = {(r.lang, r.size): (r.n, r.kinds) for r in df.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-        top = df.groupBy(name).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("all"), name).limit(most)
-        out = {}
-        for r in top.select(name, "by", size.alias("size")).toLocalIterator():
+    def frequencies(df: DataFrame, name: str, most: int, size: Column) -> tuple[dict[str, int], np.ndarray]:
+        totals = {(r.lang, r.size): r.n + r.kinds for r in df.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
+        summed = written(df.groupBy(name).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "langid-summed")
+        names, rows = {}, []
+        for r in at_most(summed, "all", most).select(name, "by", size.alias("size")).toLocalIterator():
             own = dict(map(tuple, r.by))
-            out[r[name]] = np.array([math.log((own.get(x, 0) + SMOOTH) / (sum(totals.get((x, r.size), (0, 0))) * 1.0 + SMOOTH)) for x in langs])
-        return out
+            names[r[name]] = len(names)
+            rows.append([math.log((own.get(x, 0) + SMOOTH) / (totals.get((x, r.size), 0) + SMOOTH)) for x in langs])
+        return names, np.array(rows, np.float64).reshape(len(rows), len(langs))
 
     some_words = frequencies(counted.where(F.length("word") <= LONGEST_WORD), "word", words, F.lit(0))
     some_grams = frequencies(grammed, "gram", most_grams, F.length("gram"))
     prior = np.log([shares[x] / sum(shares.values()) for x in langs])
-    return Model(langs, some_words, some_grams, prior)
+    return Model(langs, *some_words, *some_grams, prior)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
