@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,17 @@ def schema_of(df: DataFrame, column: str, name: str | None = None) -> T.StructFi
     return T.StructField(name or column, df.schema[column].dataType, True)
 
 
+def stars(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The components of a table of links (rows ``a``, columns ``b``, none of them empty) as edges to one row each."""
+    label, none = np.arange(len(a), dtype=np.int32), np.int32(len(a))
+    while True:
+        col = np.where(linked, label[:, None], none).min(0)
+        new = np.minimum(label, np.where(linked, col[None, :], none).min(1))
+        if (new == label).all():
+            return [(a, a[label]), (b, a[col])]
+        label = new
+
+
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Smallest reachable node for every node of an undirected graph.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.shared import connected_components, schema_of, written
+from trawl.llm.shared import connected_components, schema_of, stars, written
 
 SEED = 42
 #: Bits of the three segments.
@@ -51,6 +51,11 @@ MOST = 32
 GENERATOR = 0b110001110101
 #: Shingles hashed at once.
 BLOCK = 65_536
+#: For links by Jaccard similarity: tables and shingles of a sample; rows and hashes of a block, columns compared at once.
+TABLES, SAMPLE = 6, 3
+BLOCK_ROWS, BLOCK_HASHES, COLUMNS = 2_048, 2_000_000, 2_048
+#: Rows up to which the texts to compare are looked up by broadcasting their ids (some 60 bytes each); beyond it by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -155,3 +160,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = written(group.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-ids")
     of_print = written(group.join(ids, "component").select("fp", "component_id"), "simhash-of")
     return prints.join(of_print, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sampled_keys(hashes: np.ndarray, tables: int = TABLES, size: int = SAMPLE) -> np.ndarray:
+    """For each table, the fingerprint of the ``size`` shingles that its own order of hashes puts first."""
+    out = np.zeros(tables, np.uint64)
+    for t in range(tables):
+        order = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        order ^= order >> np.uint64(31)
+        order *= np.uint64(0x94D049BB133111EB)
+        order ^= order >> np.uint64(29)
+        few = np.sort(np.partition(order, size - 1)[:size] if len(order) > size else order)
+        out[t] = xxhash.xxh64_intdigest(few.tobytes(), t)
+    return out
+
+
+def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The lower-cased words, joined, and the distinct hashes of their shingles."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(found) < shingle:
+        return join(found), np.array([digest(join(found), SEED)] if found else [], np.uint64)
+    return join(found), np.array(list({digest(join(x), SEED) for x in zip(*(found[k:] for k in range(shingle)), strict=False)}), np.uint64)
+
+
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, component_id`` of every row, by links between texts whose fingerprints differ in two bits at most,
+    or whose sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    Texts of that similarity differ in some ten bits of 64, which no key of segments finds selectively. So each text
+    also has ``tables`` fingerprints of a small sample of its shingles (the first ``SAMPLE`` in an order of their
+    hashes): two texts share one with probability J to the power of ``SAMPLE`` for each table, 98.7 % over ``TABLES`` at 0.8.
+    Texts that share one are compared by their whole sets, in blocks; a block pair gives back edges to representatives.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                joined, hashes = shingle_hashes(text.as_py(), shingle)
+                rows.append((xxhash.xxh3_128_digest(joined), fingerprint(text.as_py(), shingle), sampled_keys(hashes, tables).view(np.int64) if len(hashes) else [], len(hashes)))
+            whole, prints, keys_, ns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys_, pa.list_(pa.int64())), pa.array(ns, pa.int64())], ["id", "whole", "fp", "keys", "n"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                packed = [np.sort(shingle_hashes(x.as_py(), shingle)[1]).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["k", "hashes"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        k, late, p, q = (table.column(c).to_numpy() for c in ("k", "late", "p", "q"))
+        rows = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        a, b = (np.arange(len(k)),) * 2 if p[0] == q[0] else (np.nonzero(~late)[0], np.nonzero(late)[0])
+        edges = alike(rows, a, b, least) if len(a) and len(b) else []
+        left, right = (np.concatenate([np.zeros(0, np.int64), *(e[side] for e in edges)]).astype(np.int64) for side in (0, 1))
+        return pa.table({"a": pa.array(k[left][left != right], pa.int64()), "b": pa.array(k[right][left != right], pa.int64())})
+
+    out = T.StructType([schema_of(texts, "id"), *(T.StructField(n, t) for n, t in (("whole", T.BinaryType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("n", T.LongType())))])
+    prints = written(texts.mapInArrow(described, out), "similar")
+    # Equal sequences of words count once; k numbers them.
+    distinct = written(prints.groupBy("whole").agg(F.min("id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("n").alias("n")), "similar-distinct")
+    distinct = written(distinct.withColumn("k", F.monotonically_increasing_id()), "similar-distinct")
+
+    by_print = written(distinct.groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("texts")), "similar-prints")
+    found = written(links(by_print), "similar-links")
+    first = by_print.select("fp", "first")
+    ends = found.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = distinct.join(by_print.where("texts > 1").select("fp", "first"), "fp").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))
+
+    member = written(distinct.select("k", "n", F.posexplode("keys").alias("t", "key")), "similar-members")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("int")
+    shared = written(member.groupBy("t", "key").agg(blocks.alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size"), "similar-shared")
+    member = written(member.join(shared, ["t", "key"]).select("t", "key", "k", "blocks"), "similar-members")
+    wanted = written(member.select("k").distinct().join(distinct.select("k", "least"), "k"), "similar-wanted")
+    # One row of each text: by its id, and of rows that share an id (or have none) by the words themselves.
+    few = wanted.count() <= BROADCAST_ROWS
+    one = distinct.join(wanted.select("k"), "k", "left_semi").select("k", "whole", "least")
+    whole_of = texts.join(F.broadcast(one) if few else one, F.col("id").eqNullSafe(F.col("least")))
+    here = whole_of.select("k", "text", "whole").mapInArrow(_of_words, "k long, text string")
+    hashed = written(here.dropDuplicates(["k"]).mapInArrow(sets, "k long, hashes binary"), "similar-sets")
+    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    dealt = member.select("t", "key", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("t", "key", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("late"))
+    near = dealt.join(hashed, "k").groupBy("t", "key", "p", "q").applyInArrow(compare, "a long, b long")
+
+    edges = written(ends.unionByName(same).unionByName(near), "similar-edges")
+    of_text = written(connected_components(edges, "similar-components"), "similar-of")
+    group = written(distinct.select("k", "whole", "least").join(of_text, F.col("k") == F.col("node"), "left").select("whole", "least", F.coalesce("component", "k").alias("component")), "similar-groups")
+    ids = written(group.groupBy("component").agg(F.min("least").alias("component_id")), "similar-ids")
+    of_whole = written(group.join(ids, "component").select("whole", "component_id"), "similar-of")
+    return prints.select("id", "whole").join(of_whole, "whole").select(F.col("id").alias(id_col), "component_id")
+
+
+def _of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (k, text, whole) whose text has the words that ``whole`` stands for."""
+    for batch in batches:
+        right = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())) == w.as_py() for t, w in zip(batch.column(1), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["k", "text"]).filter(pa.array(right, pa.bool_()))
+
+
+def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that join what is joined by pairs of sets, one of ``a`` and one of ``b``, of that Jaccard similarity or more."""
+    sizes = np.array([len(x) for x in rows])
+    _, code, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[code]
+    row = np.repeat(np.arange(len(rows)), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(rows), COLUMNS), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        common += has[a] @ has[b].T
+    edges = []
+    for at in range(0, len(a), 512):
+        some, inter = a[at : at + 512], common[at : at + 512].astype(np.float64)
+        linked = inter >= least * (sizes[some][:, None] + sizes[b][None, :] - inter) - 1e-9
+        linked &= some[:, None] != b[None, :]
+        rows_, cols = linked.any(1), linked.any(0)
+        if rows_.any():
+            edges += stars(linked[rows_][:, cols], some[rows_], b[cols])
+    return edges
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id stays.
+
+    Of rows that repeat that id one stays, whichever their texts; of rows with a null id one, if any of their groups has no other id.
+    """
+    found = written(similar(docs, least, shingle, tables, id_col, text_col), "simhash-found")
+    by_id = written(found.groupBy(id_col).agg(F.count("*").alias("n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("first")), "simhash-ids")
+    repeated = by_id.where("n > 1").select(F.col(id_col).alias("repeated"))
+    gone = written(by_id.where("NOT first").select(F.col(id_col).alias("gone")), "simhash-gone")
+    stay = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    repeated = written(repeated, "simhash-repeated")
+    if repeated.isEmpty():
+        return stay
+    # Only rows that share an id are shuffled again.
+    same = F.col(id_col).eqNullSafe(F.col("repeated"))
+    twice = stay.join(repeated, same, "left_semi")
+    return stay.join(repeated, same, "left_anti").unionByName(twice.dropDuplicates([id_col, text_col]).dropDuplicates([id_col]))
