@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {}
     for name in MODULES:
         found |= import_module(f"trawl.llm.{name}").QUERIES
-    return found
+    import corpus_pipeline
+
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
