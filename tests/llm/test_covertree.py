@@ -47,7 +47,8 @@ def test_against_all_pairs(spark, monkeypatch, seed, dim, groups, spread):
 
 @pytest.mark.parametrize("seed", range(6))
 def test_local_trees_against_all_pairs(seed, monkeypatch):
-    monkeypatch.setattr(covertree, "LEAF", 4)
+    monkeypatch.setattr(covertree, "LEAF", 4 if seed % 2 else 100)
+    monkeypatch.setattr(covertree, "STRIP", 7)
     x = clustered(seed, 240, 2 + seed, 6, 0.15)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     linked = x @ x.T >= 0.95

@@ -40,14 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.shared import connected_components, written
+from trawl.llm.shared import connected_components, stars, written
 
 #: Vectors of the sample that the upper levels are chosen from; rows of a block.
-SAMPLE, BLOCK = 2048, 2048
+SAMPLE, BLOCK = 2048, 8192
 #: Share of the sample within half the threshold that makes a core, and the most cores.
 DENSE, CORES = 0.004, 128
 #: Slack of every bound: distances near zero carry rounding of this order.
 SLACK = 1e-6
+#: Rows of a leaf that are compared at once.
+STRIP = 512
 #: Rows of a leaf; centres that are tried before a level that doesn't gather vectors is given up.
 LEAF, TRIED = 64, 64
 
@@ -125,18 +127,22 @@ class Tree:
         self.radius, self.children = float(d.max()), []
         while level >= self.radius and level > SLACK:
             level /= 2
-        if len(members) <= LEAF or self.radius <= SLACK:
+        if len(members) <= LEAF or self.radius <= SLACK or level <= SLACK:
             return
-        left, parts = members, []
+        left, parts, small, picks, gathered = members, [], [], 0, 0
         while len(left):
             within = distances(x[left], x[left[:1]])[:, 0] <= level
             within[0] = True
-            parts.append(left[within])
-            left = left[~within]
-            if len(parts) == TRIED and sum(map(len, parts)) < 2 * TRIED:
-                return
-        if len(parts) > 1:
-            self.children = [Tree(x, p, level / 2) for p in parts]
+            (parts if within.sum() >= LEAF else small).append(left[within])
+            picks, gathered, left = picks + 1, gathered + within.sum(), left[~within]
+            if picks == TRIED:
+                if gathered < 2 * TRIED:
+                    break
+                picks = gathered = 0
+        # What lies in no dense place stays together: a table of distances serves it better than nodes of a few vectors.
+        rest = np.concatenate([*small, left])
+        if parts and len(parts) + len(rest) > 1:
+            self.children = [Tree(x, p, level / 2) for p in parts] + ([Tree(x, rest, 0.0)] if len(rest) else [])
 
 
 def local_links(xa: np.ndarray, xb: np.ndarray | None, least: float, reach: float) -> tuple[np.ndarray, np.ndarray, list]:
@@ -163,14 +169,16 @@ def local_links(xa: np.ndarray, xb: np.ndarray | None, least: float, reach: floa
         elif b.children:
             todo += [(a, c) for c in b.children]
         else:
-            linked = xa[a.members] @ xb[b.members].T >= least
-            if alone:
-                linked &= a.members[:, None] != b.members[None, :]
-            na[a.members] += linked.sum(1)
-            nb[b.members] += linked.sum(0)
-            rows, cols = linked.any(1), linked.any(0)
-            if rows.any():
-                edges += _joined(linked[rows][:, cols], a.members[rows], b.members[cols] + shift)
+            for at in range(0, len(a.members), STRIP):
+                some = a.members[at : at + STRIP]
+                linked = xa[some] @ xb[b.members].T >= least
+                if alone:
+                    linked &= some[:, None] != b.members[None, :]
+                na[some] += linked.sum(1)
+                nb[b.members] += linked.sum(0)
+                rows, cols = linked.any(1), linked.any(0)
+                if rows.any():
+                    edges += stars(linked[rows][:, cols], some[rows], b.members[cols] + shift)
     return na, nb, edges
 
 
@@ -178,17 +186,6 @@ def _star(members: np.ndarray, hub: int) -> tuple[np.ndarray, np.ndarray]:
     return members, np.full(len(members), hub)
 
 
-def _joined(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list:
-    """The components of a table of links as stars around one row each."""
-    label, none = np.arange(len(a), dtype=np.int32), np.int32(len(a))
-    while True:
-        col = np.where(linked, label[:, None], none).min(0)
-        new = np.minimum(label, np.where(linked, col[None, :], none).min(1))
-        if (new == label).all():
-            return [(a, a[label]), (b, a[col])]
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id_col, n_links, component_id, kept`` of every row."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
