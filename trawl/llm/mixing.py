@@ -8,9 +8,9 @@ above.
 Choice: every document has a 60-bit hash of its id. A source takes whole copies
 of all its documents while its target allows, and of the rest those whose hash
 is below a threshold. The threshold comes from histograms: words summed by
-source and hash bucket (15 bits), the bucket in which the running sum passes the
-budget, then the same inside that bucket alone, four levels deep. No document is
-sorted, and a histogram has at most 32,768 buckets for each source. Documents
+source and hash bucket (12 bits), the bucket in which the running sum passes the
+budget, then the same inside that bucket alone, five levels deep. No document is
+sorted, and a histogram has at most 4,096 buckets for each source. Documents
 with the hash at the threshold itself (one, or rows that repeat an id) give an
 equal part of their words, counted from the front, so that each source takes its
 target to within those rows' rounding.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from trawl.llm.shared import dropped, words, written
 
 WEIGHTS = (3, 1, 2)
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 12, 5
 
 
 def size_of(text: Column) -> Column:
@@ -39,7 +39,7 @@ def size_of(text: Column) -> Column:
 def hash_of(doc_id: Column, seed: int = 0) -> Column:
     """60 bits, from the first 15 hexadecimal digits of an MD5."""
     name = F.concat(F.lit(f"{seed}/"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(name.cast("binary")), 1, BITS), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def targets(totals: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
