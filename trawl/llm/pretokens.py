@@ -26,8 +26,8 @@ BEYOND = re.compile("[^\u0000-ÿ]")
 
 #: Longer pre-tokens are encoded each time and never kept.
 LONGEST_KEPT = 48
-#: Entries of a worker's cache: at most some 200 MB.
-MOST_KEPT = 1_000_000
+#: Entries of a worker's cache: at most some 100 MB.
+MOST_KEPT = 500_000
 
 
 @cache
