@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pandas as pd
@@ -47,14 +47,24 @@ def fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + "".join(dropped), "".join(b for _, b in pairs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def unmarked(text: Column) -> Column:
+    """Without accents and compatibility forms. Plain ASCII, which has none, is let through: the table is looked up for each character."""
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.translate(text, *fold_table()))
+
+
 def fold(text: Column) -> Column:
     """Without accents and compatibility forms, in lower case, white space squeezed."""
-    return squeeze(F.lower(F.translate(text, *fold_table())))
+    return squeeze(F.lower(unmarked(text)))
 
 
 @F.pandas_udf(T.StringType())
@@ -64,15 +74,19 @@ def fold_exact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def tokenize(text: Column) -> Column:
-    """Runs of a-z and 0-9 of the folded text; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
+    """Runs of a-z and 0-9 of the folded text; an empty array for null. White space needs no squeezing here."""
+    return F.coalesce(F.regexp_extract_all(F.lower(unmarked(text)), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
     """Character n-grams of the folded text, with repeats; a space counts as ``_``."""
-    folded = F.replace(fold(text), F.lit(" "), F.lit("_"))
-    last = F.length(folded) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(folded, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def cut(folded: Column) -> Column:
+        last = F.length(folded) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(folded, k, F.lit(n)))).otherwise(none)
+
+    return F.coalesce(let(F.replace(fold(text), F.lit(" "), F.lit("_")), cut), none)
 
 
 def transliterate(text: Column) -> Column:
@@ -88,9 +102,12 @@ def transliterate(text: Column) -> Column:
 
 def normalise(name: Column) -> Column:
     """The words of a name without its legal form; if that is all it has, with it."""
-    spaced = F.regexp_replace(fold(transliterate(name)), "[^a-z0-9 ]+", " ")
-    own = F.filter(F.split(spaced, " +"), lambda w: (w != "") & ~w.isin(LEGAL))
-    return F.coalesce(F.nullif(F.array_join(own, " "), F.lit("")), F.trim(spaced))
+
+    def without(spaced: Column) -> Column:
+        own = F.filter(F.split(spaced, " +"), lambda w: (w != "") & ~w.isin(LEGAL))
+        return F.coalesce(F.nullif(F.array_join(own, " "), F.lit("")), F.trim(spaced))
+
+    return let(F.regexp_replace(fold(transliterate(name)), "[^a-z0-9 ]+", " "), without)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,12 +137,12 @@ def tag(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(f"{prefix}/"), F.trim(F.regexp_replace(F.lower(value), r"(?U)[^\w/-]+", "-"), F.lit("-")))
 
 
-CITATION = r"\[([A-Za-z0-9][A-Za-z0-9_.:-]{2,})\]"
+CITATION = r"\[([A-Za-z0-9][\w.:-]{2,})\]"
 
 
 def cited(text: Column) -> Column:
     """Distinct ids in square brackets, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + CITATION), F.lit(1)))
 
 
 def check_citations(text: Column, seen: Column) -> tuple[Column, Column]:
@@ -147,15 +164,18 @@ def noisy(name: Column, key: Column, seed: int = 0) -> Column:
     def place(step: int, n: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(step)), n).cast("int")
 
-    n = F.length(name)
-    at = place(0, F.greatest(n - 2, F.lit(1))) + 2
-    out = F.when(n > 6, F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, n))).otherwise(name)
-    for step in (1, 2):
-        m, before = F.length(out), out
-        i = place(step, F.greatest(m - 1, F.lit(1))) + 1
-        swapped = F.concat(F.substring(before, F.lit(1), i - 1), F.substring(before, i + 1, F.lit(1)), F.substring(before, i, F.lit(1)), F.substring(before, i + 2, m))
-        out = F.when(m > 4, swapped).otherwise(before)
-    return out
+    def shorter(text: Column) -> Column:
+        n = F.length(text)
+        return let(place(0, F.greatest(n - 2, F.lit(1))) + 2, lambda at: F.when(n > 6, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, n))).otherwise(text))
+
+    def swapped(step: int) -> Callable[[Column], Column]:
+        def swap(text: Column) -> Column:
+            n = F.length(text)
+            return let(place(step, F.greatest(n - 1, F.lit(1))) + 1, lambda i: F.when(n > 4, F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(1)), F.substring(text, i, F.lit(1)), F.substring(text, i + 2, n))).otherwise(text))
+
+        return swap
+
+    return let(let(let(name, shorter), swapped(1)), swapped(2))
 
 
 # The same on the driver, for single strings.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.text import ngrams, tokenize
-from trawl.operators.runs import ranked
+from trawl.operators.runs import ranked, spread
 
 #: Queries that a task holds as one matrix.
 QUERY_BLOCK = 4096
@@ -49,7 +49,7 @@ class LSAEncoder:
     @staticmethod
     def features(texts: DataFrame) -> DataFrame:
         """``id, features``: words and trigrams in one name space, with repeats."""
-        return texts.select("id", F.concat(tokenize(F.col("text")), ngrams(F.col("text"), 3)).alias("features"))
+        return spread(texts.select("id", "text")).select("id", F.concat(tokenize(F.col("text")), ngrams(F.col("text"), 3)).alias("features"))
 
     def fit(self, texts: DataFrame) -> LSAEncoder:
         found = self.features(texts)

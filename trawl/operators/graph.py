@@ -66,9 +66,9 @@ def shortest_paths(pairs: DataFrame, relations: DataFrame, max_hops: int = 3) ->
     front = wanted.where("src <> dst").select("src", F.array("src").alias("path"), F.col("src").alias("at")).distinct()
     seen = front.select("src", "at")
     for _ in range(max_hops):
-        step = front.join(near, front.at == near.node).select("src", F.concat("path", F.array("neighbour")).alias("path"), F.col("neighbour").alias("at"))
+        step = front.withColumnRenamed("at", "node").join(near, "node").select("src", F.concat("path", F.array("neighbour")).alias("path"), F.col("neighbour").alias("at"))
         step = step.join(seen, ["src", "at"], "left_anti").groupBy("src", "at").agg(F.min("path").alias("path"))
-        found = found.unionByName(step.join(wanted, (step.at == wanted.dst) & (step.src == wanted.src)).select(wanted.src, "dst", "path"))
+        found = found.unionByName(step.withColumnRenamed("at", "dst").join(wanted, ["src", "dst"]).select("src", "dst", "path"))
         seen = seen.unionByName(step.select("src", "at"))
         front = step
     return found.select("src", "dst", "path", (F.size("path") - 1).alias("hops"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.text import tokenize
-from trawl.operators.runs import ranked, small
+from trawl.operators.runs import ranked, small, spread
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -31,7 +31,7 @@ class BM25:
         self.k1, self.b, self.docs, self.postings = k1, b, None, None
 
     def index(self, docs: DataFrame) -> BM25:
-        self.docs = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+        self.docs = spread(docs.select("doc_id", "text")).select("doc_id", tokenize(F.col("text")).alias("tokens"))
         return self
 
     def stats(self) -> DataFrame:
@@ -40,7 +40,8 @@ class BM25:
 
     def term_counts(self, terms: DataFrame | None = None) -> DataFrame:
         """``doc_id, term, dl, tf``, of the given terms only or of all."""
-        words = self.docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        # The outer form: for the inner one a filter on the array's size is inferred, and tokens are made twice.
+        words = self.docs.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
         if terms is not None:
             words = words.join(small(terms), "term", "left_semi")
         return words.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
@@ -68,7 +69,8 @@ class BM25:
         else:
             counts = self.postings.join(small(terms), "term", "left_semi")
         stats = F.broadcast(self.stats())
-        weighed = counts.join(stats, how="inner").join(counts.groupBy("term").agg(F.count("*").alias("df")), "term")
+        # df names tf, so that both sides of the join are the same exchange and it is made once.
+        weighed = counts.join(stats, how="inner").join(counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), "term")
         dl = F.greatest("dl", F.lit(1))
         tf = F.col("tf")
         gain = idf(F.col("n"), F.col("df")) * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.col("avgdl")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.similarity import name_scores
 from trawl.functions.text import normalise
-from trawl.operators.runs import ranked, small
+from trawl.operators.runs import ranked
 
 NAME_PROPERTIES = ("name", "alias", "weakAlias", "previousName")
 MEASURES = ("jaro_winkler", "token_sort", "token_set")
@@ -41,7 +41,7 @@ class NameMatcher:
         asked = queries.select("query_id", normalise(F.col("query")).alias("q")).where("q <> ''")
         distinct = asked.select("q").distinct().join(self.names.select("norm").distinct(), how="cross")
         scored = distinct.select("q", "norm", name_scores("q", "norm").alias("s"))
-        return scored.join(small(asked), "q")
+        return scored.join(asked, "q")
 
     def matches(self, queries: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
         """A run with ``matched_name`` and the measures: the best name of each entity, scores to one decimal.
@@ -60,7 +60,7 @@ class NameMatcher:
     def score_entities(self, pool: DataFrame, queries: DataFrame) -> DataFrame:
         """``query_id, doc_id, name_score`` for the hits of a run: the best name's score, unrounded; 0 without any."""
         asked = queries.select("query_id", normalise(F.col("query")).alias("q"))
-        own = pool.select("query_id", "doc_id").join(small(asked), "query_id").join(self.names.select(F.col("entity_id").alias("doc_id"), "norm"), "doc_id", "left")
+        own = pool.select("query_id", "doc_id").join(asked, "query_id").join(self.names.select(F.col("entity_id").alias("doc_id"), "norm"), "doc_id", "left")
         pairs = own.where("q <> '' AND norm IS NOT NULL").select("q", "norm").distinct()
         scored = pairs.select("q", "norm", name_scores("q", "norm").alias("s")).select("q", "norm", F.col("s.total").alias("t"))
         return own.join(scored, ["q", "norm"], "left").groupBy("query_id", "doc_id").agg(F.coalesce(F.max("t"), F.lit(0.0)).alias("name_score"))

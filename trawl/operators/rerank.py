@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.text import coverage, jaccard, ngrams, tokenize
-from trawl.operators.runs import ranked, small
+from trawl.operators.runs import ranked
 
 FEATURES = ("coverage", "jaccard", "name_similarity", "topic", "retriever_prior")
 # Weights set by hand, weights that were learned, and the topics that count.
@@ -27,7 +27,7 @@ class FeatureReranker:
     def features(self, queries: DataFrame, run: DataFrame, entities: DataFrame) -> DataFrame:
         """``query_id, doc_id, prior_rank`` (from 0) and the features of every hit that has an entity."""
         hits = run.select("query_id", "doc_id", (F.col("rank") - 1).alias("prior_rank"))
-        rows = entities.select(F.col("id").alias("doc_id"), "caption", "topics", "search_text").join(small(hits), "doc_id").join(small(queries.select("query_id", "query")), "query_id")
+        rows = entities.select(F.col("id").alias("doc_id"), "caption", "topics", "search_text").join(hits, "doc_id").join(queries.select("query_id", "query"), "query_id")
         q, d = tokenize(F.col("query")), tokenize(F.col("search_text"))
         topic = F.coalesce(F.arrays_overlap("topics", F.array(*map(F.lit, TOPICS))), F.lit(False)).cast("double")
         prior = 1.0 / (1 + F.col("prior_rank"))

@@ -28,3 +28,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def known(run: DataFrame, entities: DataFrame, id_col: str = "id") -> DataFrame:
     """Hits that have an entity; ranks stay as they were."""
     return run.join(entities.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores if it comes in fewer partitions than half of them (one small file, say); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

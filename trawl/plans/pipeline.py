@@ -36,7 +36,9 @@ class Pipeline:
 
     def search(self, queries: DataFrame | str, k: int = 10, pool: int = 100, expand: bool = False, hops: int = 1) -> DataFrame:
         queries = self.queries(queries) if isinstance(queries, str) else queries
-        run = self.reranker.rerank(queries, self.hybrid.search(queries, k=pool, pool=pool), self.entities, k)
+        # The fused pool is read by several features; it has ``pool`` rows for each query at most.
+        fused = self.hybrid.search(queries, k=pool, pool=pool).persist()
+        run = self.reranker.rerank(queries, fused, self.entities, k)
         return graph.expand(run, self.relations, self.entities, hops) if expand else run
 
     def hits(self, run: DataFrame) -> DataFrame:
