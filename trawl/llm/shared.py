@@ -7,6 +7,8 @@ where that setting is missing (single-machine runs, tests).
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -24,9 +26,33 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or LOCAL_DEFAULT).rstrip("/")
 
 
+#: Paths given out by this process and not yet deleted.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call uses. ``release`` deletes it, at the latest when the driver ends."""
+    if not _made:
+        atexit.register(_at_exit)
+    _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this process. Only for when no result that was made from them will be read again."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _at_exit() -> None:
+    if spark := SparkSession.getActiveSession():
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            release(spark)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -40,10 +66,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` that nobody reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, name.rpartition("/")[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
