@@ -16,7 +16,7 @@ def test_components_of_random_graphs_chains_and_hubs(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5), (1001, 1000), (1001, 1000)]
     rng.shuffle(edges)
-    want = components({n for e in edges for n in e}, [e for _ in range(1) for e in edges])
+    want = components({n for e in edges for n in e}, edges)
     for _ in range(70):
         want = {n: min([want[n], *(want[b] for a, b in edges if a == n), *(want[a] for a, b in edges if b == n)]) for n in want}
     df = spark.createDataFrame([*edges, (None, 1), (1, None)], "a long, b long")
@@ -25,16 +25,14 @@ def test_components_of_random_graphs_chains_and_hubs(spark):
     assert shared.connected_components(df.limit(0)).count() == 0
 
 
-def test_tables_lie_in_the_shared_folder_and_go(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
-    try:
-        made = shared.written(spark.range(5).toDF("x"), "tag")
-        assert made.count() == 5 and len(os.listdir(tmp_path / "shared")) == 1
-        shared.dropped(made)
-        assert os.listdir(tmp_path / "shared") == []
-        shared.written(spark.range(0).toDF("x"), "tag")
-        shared.release(spark)
-        assert os.listdir(tmp_path / "shared") == []
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert shared.shared_dir(spark) == shared.LOCAL_DEFAULT
+def test_tables_lie_in_the_shared_folder_and_go(spark, tmp_path, monkeypatch):
+    assert shared.shared_dir(spark) == shared.LOCAL_DEFAULT  # this session sets none
+    monkeypatch.setattr(shared, "LOCAL_DEFAULT", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(shared, "_made", [])
+    made = shared.written(spark.range(5).toDF("x"), "tag")
+    assert made.count() == 5 and len(os.listdir(tmp_path / "shared")) == 1
+    shared.dropped(made)
+    assert os.listdir(tmp_path / "shared") == []
+    shared.written(spark.range(0).toDF("x"), "tag")
+    shared.release(spark)
+    assert os.listdir(tmp_path / "shared") == []
