@@ -45,6 +45,14 @@ def test_against_all_pairs(spark, monkeypatch, seed, dim, groups, spread):
     assert engine(df) == brute(rows)
 
 
+def test_tight_cells_within_reach_count_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 7)
+    angles = [k * 0.004 for k in range(7)] + [0.2 + k * 0.004 for k in range(7)]  # too few of either for a core
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(angles)]
+    got = engine(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got == brute(rows) and all(n == 13 for _, n, _, _ in got)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_local_trees_against_all_pairs(seed, monkeypatch):
     monkeypatch.setattr(covertree, "LEAF", 4 if seed % 2 else 100)

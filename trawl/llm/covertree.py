@@ -9,9 +9,9 @@ covering radii bound distances by the triangle inequality. Three ranges of level
    cell for each ``BLOCK`` vectors. Every vector is put into a core or the
    nearest cell; radii and sizes of these nodes are then exact, over all vectors.
 2. A vector against a node, at distance d from its centre and radius r: beyond
-   d - r > t nothing links; at d + r <= t every member links, so that sizes are
-   added and one link to the node's representative is kept, without a pair;
-   else the vector goes to the blocks of that node.
+   d - r > t nothing links; at d + r <= t every member links, so that for a core
+   sizes are added and one link to its representative is kept, without a pair;
+   else, and for a cell, the vector goes to the blocks of that node.
 3. A block pair (``BLOCK`` rows a side at most; large nodes are dealt into
    blocks) is searched by dual traversal of two local trees whose levels halve
    the radius; node pairs are pruned or taken whole by the same bounds, and
@@ -105,7 +105,8 @@ class Nodes:
         self.meet = (apart <= self.reach + SLACK) & (self.size[:, None] > 0) & (self.size[None, :] > 0)
 
     def links_whole(self, d: np.ndarray) -> np.ndarray:
-        return d + self.radius <= self.reach - SLACK
+        """Cores only: members of a cell need not link with each other, so each has to meet the vector in a block."""
+        return (d + self.radius <= self.reach - SLACK) & (np.arange(len(self.centres)) >= self.n_cells)
 
     def beyond(self, d: np.ndarray) -> np.ndarray:
         return d - self.radius > self.reach + SLACK
