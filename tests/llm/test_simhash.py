@@ -135,3 +135,17 @@ def test_similar_texts_are_joined_and_one_of_each_stays(spark, monkeypatch, bloc
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(x) for x in least.values()})
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [32, 0])
+def test_short_texts_at_the_threshold_are_all_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    rows = []
+    for k in range(300):
+        words = [f"w{k}x{j}" for j in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]  # 4 of 5 shingles
+    rows += [(1000 + k, " ".join(f"w{k}x{j}" for j in range(7))) for k in range(20)]  # 3 of 4 and of 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert got == {k: k // 2 * 2 if k < 1000 else k for k, _ in rows}

@@ -27,6 +27,7 @@ are ignored whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -34,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +55,8 @@ BLOCK = 65_536
 #: For links by Jaccard similarity: tables and shingles of a sample; rows and hashes of a block, columns compared at once.
 TABLES, SAMPLE = 6, 3
 BLOCK_ROWS, BLOCK_HASHES, COLUMNS = 2_048, 2_000_000, 2_048
+#: Texts of the sample that tells frequent shingles from rare ones, and the frequent shingles that are told apart.
+RARITY_TEXTS, FREQUENT = 20_000, 500_000
 #: Rows up to which the texts to compare are looked up by broadcasting their ids (some 60 bytes each); beyond it by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -190,8 +193,11 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
 
     Texts of that similarity differ in some ten bits of 64, which no key of segments finds selectively. So each text
     also has ``tables`` fingerprints of a small sample of its shingles (the first ``SAMPLE`` in an order of their
-    hashes): two texts share one with probability J to the power of ``SAMPLE`` for each table, 98.7 % over ``TABLES`` at 0.8.
-    Texts that share one are compared by their whole sets, in blocks; a block pair gives back edges to representatives.
+    hashes) and is compared with the first text that shares one. That joins most groups cheaply, but misses pairs.
+
+    An exact search finds what is left (``_rest``): with shingles in one order for all texts, the rarest first, two sets
+    of that similarity share a shingle among the first (1 - ``least``) of each. Only texts that are not joined yet are
+    compared; where one shingle leaves many of them, in blocks. The order decides how fast this is, never what is found.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -208,17 +214,8 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                packed = [np.sort(shingle_hashes(x.as_py(), shingle)[1]).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["k", "hashes"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        k, late, p, q = (table.column(c).to_numpy() for c in ("k", "late", "p", "q"))
-        rows = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        a, b = (np.arange(len(k)),) * 2 if p[0] == q[0] else (np.nonzero(~late)[0], np.nonzero(late)[0])
-        edges = alike(rows, a, b, least) if len(a) and len(b) else []
-        left, right = (np.concatenate([np.zeros(0, np.int64), *(e[side] for e in edges)]).astype(np.int64) for side in (0, 1))
-        return pa.table({"a": pa.array(k[left][left != right], pa.int64()), "b": pa.array(k[right][left != right], pa.int64())})
+                found = [shingle_hashes(x.as_py(), shingle)[1].view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["k", "hashes"])
 
     out = T.StructType([schema_of(texts, "id"), *(T.StructField(n, t) for n, t in (("whole", T.BinaryType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("n", T.LongType())))])
     prints = written(texts.mapInArrow(described, out), "similar")
@@ -232,23 +229,19 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
     ends = found.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = distinct.join(by_print.where("texts > 1").select("fp", "first"), "fp").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))
 
-    member = written(distinct.select("k", "n", F.posexplode("keys").alias("t", "key")), "similar-members")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("int")
-    shared = written(member.groupBy("t", "key").agg(blocks.alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size"), "similar-shared")
-    member = written(member.join(shared, ["t", "key"]).select("t", "key", "k", "blocks"), "similar-members")
-    wanted = written(member.select("k").distinct().join(distinct.select("k", "least"), "k"), "similar-wanted")
+    member = written(distinct.select("k", F.posexplode("keys").alias("t", "key")), "similar-members")
+    hub = written(member.groupBy("t", "key").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size"), "similar-shared")
+    near = member.join(hub, ["t", "key"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
+    wanted = written(distinct.where("n > 0").select("k", "least"), "similar-wanted")
     # One row of each text: by its id, and of rows that share an id (or have none) by the words themselves.
     few = wanted.count() <= BROADCAST_ROWS
     one = distinct.join(wanted.select("k"), "k", "left_semi").select("k", "whole", "least")
     whole_of = texts.join(F.broadcast(one) if few else one, F.col("id").eqNullSafe(F.col("least")))
     here = whole_of.select("k", "text", "whole").mapInArrow(_of_words, "k long, text string")
-    hashed = written(here.dropDuplicates(["k"]).mapInArrow(sets, "k long, hashes binary"), "similar-sets")
-    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    dealt = member.select("t", "key", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("t", "key", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("late"))
-    near = dealt.join(hashed, "k").groupBy("t", "key", "p", "q").applyInArrow(compare, "a long, b long")
+    hashed = written(here.dropDuplicates(["k"]).mapInArrow(sets, "k long, hashes array<long>"), "similar-sets")
 
-    edges = written(ends.unionByName(same).unionByName(near), "similar-edges")
+    edges = written(ends.unionByName(same).unionByName(verified(near, hashed, least)), "similar-edges")
+    edges = _rest(hashed, edges, least)
     of_text = written(connected_components(edges, "similar-components"), "similar-of")
     group = written(distinct.select("k", "whole", "least").join(of_text, F.col("k") == F.col("node"), "left").select("whole", "least", F.coalesce("component", "k").alias("component")), "similar-groups")
     ids = written(group.groupBy("component").agg(F.min("least").alias("component_id")), "similar-ids")
@@ -256,6 +249,93 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
     return prints.select("id", "whole").join(of_whole, "whole").select(F.col("id").alias(id_col), "component_id")
 
 
+def verified(pairs: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets (``k, hashes``) have that Jaccard similarity or more."""
+    a, b = hashed.toDF("a", "x"), hashed.toDF("b", "y")
+    common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(a, "a").join(b, "b").where(_fit(F.size("x"), F.size("y"), least))
+    return both.where(common >= least * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+
+def _fit(n: Column, m: Column, least: float) -> Column:
+    return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+
+
+def _rest(hashed: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """The edges and those that they lack to join all sets of that Jaccard similarity or more: an exact search by prefixes."""
+    spark = hashed.sparkSession
+    share = max(1, hashed.count() // RARITY_TEXTS)
+    sample = hashed.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).select(F.explode("hashes").alias("h"))
+    known = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    known = known.combine_chunks().sort_by("h")
+    frequent = spark.sparkContext.broadcast((known.column("h").to_numpy(), known.column("n").to_numpy()))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, often = frequent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                keys_, sizes = [np.zeros(0, np.int64)], []
+                for x in part.column(1):
+                    h = x.values.to_numpy(zero_copy_only=False)
+                    rank = np.zeros(len(h), np.int64)
+                    if len(hot):
+                        place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                        rank = np.where(hot[place] == h, often[place], 0)
+                    keys_.append(h[np.lexsort((h, rank))][: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+                    sizes.append(len(h))
+                taken = np.array([len(x) for x in keys_[1:]])
+                place = np.arange(taken.sum()) - np.repeat(taken.cumsum() - taken, taken)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(0).to_numpy(), taken)), pa.array(np.concatenate(keys_)), pa.array(place.astype(np.int32)), pa.array(np.repeat(sizes, taken).astype(np.int32))],
+                    ["k", "key", "place", "n"],
+                )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        k, late, p, q = (table.column(c).to_numpy() for c in ("k", "late", "p", "q"))
+        rows = [x.values.to_numpy(zero_copy_only=False) for x in table.column("hashes")]
+        a, b = (np.arange(len(k)),) * 2 if p[0] == q[0] else (np.nonzero(~late)[0], np.nonzero(late)[0])
+        found = alike(rows, a, b, least) if len(a) and len(b) else []
+        left, right = (np.concatenate([np.zeros(0, np.int64), *(e[side] for e in found)]).astype(np.int64) for side in (0, 1))
+        return pa.table({"a": pa.array(k[left][left != right], pa.int64()), "b": pa.array(k[right][left != right], pa.int64())})
+
+    def open_groups(member: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members with their components ``c``, and the keys whose members lie in several: the largest, and how many lie outside of it."""
+        of = written(connected_components(edges, "similar-components"), "similar-of")
+        placed = written(member.join(of, member.k == of.node, "left").select("key", "k", "place", "n", F.coalesce("component", "k").alias("c")), "similar-placed")
+        sizes = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("big"), (F.sum("size") - F.max("size")).alias("outside"))
+        return placed, written(sizes.where("outside > 0"), "similar-open")
+
+    # Of two sets that share a shingle first at these places, each has so many from there on; the smaller one must have enough for both.
+    enough = lambda n, m: least / (1 + least) * (n + m) - 1e-9
+    prefix = written(hashed.mapInArrow(prefixes, "k long, key long, place int, n int"), "similar-prefixes")
+    shared = prefix.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("n") - F.col("place") >= enough(F.col("n"), F.col("n"))).alias("any")).where("size > 1 AND any")
+    member = written(prefix.join(written(shared.select("key"), "similar-shared"), "key", "left_semi"), "similar-members")
+
+    placed, groups = open_groups(member)
+    few = placed.join(groups.where(F.col("outside") <= MOST), "key")
+    one = few.where("c <> big").select("key", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    other = few.select("key", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"), "big")
+    pairs = one.join(other, "key").where("ca <> cb AND (cb = big OR a < b)").where(_fit(F.col("na"), F.col("nb"), least))
+    pairs = pairs.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= enough(F.col("na"), F.col("nb")))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    edges = written(edges.unionByName(verified(pairs, hashed, least)), "similar-edges")
+    many = written(groups.where(F.col("outside") > MOST).select("key"), "similar-many")
+    if many.isEmpty():
+        return edges
+
+    placed, groups = open_groups(member.join(many, "key", "left_semi"))
+    crowd = placed.join(groups.select("key"), "key", "left_semi")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("int")
+    crowd = crowd.join(written(crowd.groupBy("key").agg(blocks.alias("blocks")), "similar-blocks"), "key")
+    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    dealt = crowd.select("key", "k", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("late"))
+    near = dealt.join(hashed, "k").groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
+    return written(edges.unionByName(near), "similar-edges")
+
+
 def _of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (k, text, whole) whose text has the words that ``whole`` stands for."""
     for batch in batches:
