@@ -149,3 +149,14 @@ def test_short_texts_at_the_threshold_are_all_joined(spark, monkeypatch, most):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
     assert got == {k: k // 2 * 2 if k < 1000 else k for k, _ in rows}
+
+
+def test_rows_with_equal_or_no_ids_stay_if_their_texts_differ(spark):
+    text = lambda name: " ".join(f"{name}{j}" for j in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (7, text("c")), (7, text("d")), (7, text("d").upper()), (3, text("d") + " more"), (9, text("e")), (9, text("e"))]
+    df = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, whole string").repartition(3)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text)
+    assert got == sorted([("None", text("a")), ("None", text("b")), ("7", text("c")), ("3", text("d") + " more"), ("9", text("e"))])
+    assert kept.count() == 6

@@ -28,6 +28,7 @@ are ignored whatever their names.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -199,6 +200,14 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
     of that similarity share a shingle among the first (1 - ``least``) of each. Only texts that are not joined yet are
     compared; where one shingle leaves many of them, in blocks. The order decides how fast this is, never what is found.
     """
+    prints, group = _grouped(docs, least, shingle, tables, id_col, text_col)
+    ids = written(group.groupBy("component").agg(F.min("least").alias("component_id")), "similar-ids")
+    of_whole = written(group.join(ids, "component").select("whole", "component_id"), "similar-of")
+    return prints.select("id", "whole").join(of_whole, "whole").select(F.col("id").alias(id_col), "component_id")
+
+
+def _grouped(docs: DataFrame, least: float, shingle: int, tables: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, whole`` of every row (``whole`` stands for its words), and ``whole, least, component`` of each sequence of words, with its smallest id."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +220,10 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys_, pa.list_(pa.int64())), pa.array(ns, pa.int64())], ["id", "whole", "fp", "keys", "n"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            new = [k not in seen and not seen.add(k) for k in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [shingle_hashes(x.as_py(), shingle)[1].view(np.int64) for x in part.column(1)]
@@ -232,21 +244,31 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int =
     member = written(distinct.select("k", F.posexplode("keys").alias("t", "key")), "similar-members")
     hub = written(member.groupBy("t", "key").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size"), "similar-shared")
     near = member.join(hub, ["t", "key"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
-    wanted = written(distinct.where("n > 0").select("k", "least"), "similar-wanted")
-    # One row of each text: by its id, and of rows that share an id (or have none) by the words themselves.
+    wanted = written(distinct.where("n > 0").select("k", "whole", "least"), "similar-wanted")
+    # One row of each text: by its words and its smallest id, which together may still be those of several rows.
     few = wanted.count() <= BROADCAST_ROWS
-    one = distinct.join(wanted.select("k"), "k", "left_semi").select("k", "whole", "least")
-    whole_of = texts.join(F.broadcast(one) if few else one, F.col("id").eqNullSafe(F.col("least")))
-    here = whole_of.select("k", "text", "whole").mapInArrow(_of_words, "k long, text string")
-    hashed = written(here.dropDuplicates(["k"]).mapInArrow(sets, "k long, hashes array<long>"), "similar-sets")
+    named = texts.mapInArrow(lambda batches: _with_words(batches, 1, "whole"), T.StructType([*texts.schema, T.StructField("whole", T.BinaryType())]))
+    one = wanted.select("k", F.col("whole").alias("words"), "least")
+    here = named.join(F.broadcast(one) if few else one, (F.col("whole") == F.col("words")) & F.col("id").eqNullSafe(F.col("least"))).select("k", "text")
+    hashed = written(here.mapInArrow(sets, "k long, hashes array<long>").dropDuplicates(["k"]), "similar-sets")
 
     edges = written(ends.unionByName(same).unionByName(verified(near, hashed, least)), "similar-edges")
     edges = _rest(hashed, edges, least)
     of_text = written(connected_components(edges, "similar-components"), "similar-of")
     group = written(distinct.select("k", "whole", "least").join(of_text, F.col("k") == F.col("node"), "left").select("whole", "least", F.coalesce("component", "k").alias("component")), "similar-groups")
-    ids = written(group.groupBy("component").agg(F.min("least").alias("component_id")), "similar-ids")
-    of_whole = written(group.join(ids, "component").select("whole", "component_id"), "similar-of")
-    return prints.select("id", "whole").join(of_whole, "whole").select(F.col("id").alias(id_col), "component_id")
+    return prints, group
+
+
+def words_key(text: str | None) -> bytes:
+    """What stands for the lower-cased words of a text."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
+def _with_words(batches: Iterator[pa.RecordBatch], at: int, name: str) -> Iterator[pa.RecordBatch]:
+    """The rows, and what stands for the words of the text in column ``at`` as a further column."""
+    for batch in batches:
+        keys_ = pa.array([words_key(x.as_py()) for x in batch.column(at)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys_], [*batch.schema.names, name])
 
 
 def verified(pairs: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
@@ -336,13 +358,6 @@ def _rest(hashed: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     return written(edges.unionByName(near), "similar-edges")
 
 
-def _of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (k, text, whole) whose text has the words that ``whole`` stands for."""
-    for batch in batches:
-        right = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())) == w.as_py() for t, w in zip(batch.column(1), batch.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["k", "text"]).filter(pa.array(right, pa.bool_()))
-
-
 def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that join what is joined by pairs of sets, one of ``a`` and one of ``b``, of that Jaccard similarity or more."""
     sizes = np.array([len(x) for x in rows])
@@ -370,19 +385,24 @@ def alike(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) ->
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id stays.
+    """The rows of ``docs`` without near-duplicates: of each group one row stays, with the smallest id of the group.
 
-    Of rows that repeat that id one stays, whichever their texts; of rows with a null id one, if any of their groups has no other id.
+    Rows are told apart by their words, not by their ids: of groups that share an id, or have none, each keeps a row.
     """
-    found = written(similar(docs, least, shingle, tables, id_col, text_col), "simhash-found")
-    by_id = written(found.groupBy(id_col).agg(F.count("*").alias("n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("first")), "simhash-ids")
-    repeated = by_id.where("n > 1").select(F.col(id_col).alias("repeated"))
-    gone = written(by_id.where("NOT first").select(F.col(id_col).alias("gone")), "simhash-gone")
-    stay = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
-    repeated = written(repeated, "simhash-repeated")
+    prints, group = _grouped(docs, least, shingle, tables, id_col, text_col)
+    key = f"words_{uuid.uuid4().hex}"  # a name that no column of docs has
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "whole")).alias("first")
+    chosen = written(group.groupBy("component").agg(first).select(F.col("first.whole").alias("chosen"), F.col("first.least").alias("of")), "simhash-chosen")
+    rows = written(prints.groupBy("whole", "id").agg(F.count("*").alias("n")), "simhash-rows")
+    taken = (F.col("whole") == F.col("chosen")) & F.col("id").eqNullSafe(F.col("of"))
+    gone = written(rows.join(chosen, taken, "left_anti").select("whole", "id"), "simhash-gone").toDF(f"{key} gone", "of " + key)
+    repeated = written(rows.where("n > 1").join(chosen, taken, "left_semi").select("whole", "id"), "simhash-repeated").toDF(f"{key} gone", "of " + key)
+    place = docs.columns.index(text_col)
+    named = docs.mapInArrow(lambda batches: _with_words(batches, place, key), T.StructType([*docs.schema, T.StructField(key, T.BinaryType())]))
+    same = (F.col(key) == F.col(f"{key} gone")) & F.col(id_col).eqNullSafe(F.col("of " + key))
+    stay = named.join(gone, same, "left_anti")
     if repeated.isEmpty():
-        return stay
-    # Only rows that share an id are shuffled again.
-    same = F.col(id_col).eqNullSafe(F.col("repeated"))
-    twice = stay.join(repeated, same, "left_semi")
-    return stay.join(repeated, same, "left_anti").unionByName(twice.dropDuplicates([id_col, text_col]).dropDuplicates([id_col]))
+        return stay.drop(key)
+    # Only rows that share their id and their words are shuffled again.
+    once, twice = stay.join(repeated, same, "left_anti"), stay.join(repeated, same, "left_semi")
+    return once.unionByName(twice.dropDuplicates([id_col, key])).drop(key)
