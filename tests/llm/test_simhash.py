@@ -160,3 +160,10 @@ def test_rows_with_equal_or_no_ids_stay_if_their_texts_differ(spark):
     got = sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text)
     assert got == sorted([("None", text("a")), ("None", text("b")), ("7", text("c")), ("3", text("d") + " more"), ("9", text("e"))])
     assert kept.count() == 6
+
+
+def test_equal_fingerprints_of_repeats_do_not_join_different_texts(spark):
+    rows = [(k, "again " * 400 + " ".join(f"own{k}x{j}" for j in range(100))) for k in range(4)]
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {0, 1, 2, 3}

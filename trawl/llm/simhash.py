@@ -189,10 +189,12 @@ def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
 
 
 def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, component_id`` of every row, by links between texts whose fingerprints differ in two bits at most,
-    or whose sets of shingles have a Jaccard similarity of ``least`` or more.
+    """``id_col, component_id`` of every row, by links between texts whose sets of shingles have a Jaccard similarity
+    of ``least`` or more.
 
-    Texts of that similarity differ in some ten bits of 64, which no key of segments finds selectively. So each text
+    Fingerprints that differ in two bits at most give candidates; they count repeats, so that one phrase can decide all
+    bits, and every candidate is verified. Texts of that similarity can differ in some ten bits of 64, which no key of
+    segments finds selectively. So each text
     also has ``tables`` fingerprints of a small sample of its shingles (the first ``SAMPLE`` in an order of their
     hashes) and is compared with the first text that shares one. That joins most groups cheaply, but misses pairs.
 
@@ -243,7 +245,9 @@ def _grouped(docs: DataFrame, least: float, shingle: int, tables: int, id_col: s
 
     member = written(distinct.select("k", F.posexplode("keys").alias("t", "key")), "similar-members")
     hub = written(member.groupBy("t", "key").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size"), "similar-shared")
-    near = member.join(hub, ["t", "key"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
+    near = member.join(hub, ["t", "key"]).where("k <> b").select(F.col("k").alias("a"), "b")
+    # Fingerprints count repeats, so they too give only candidates.
+    near = written(near.unionByName(ends).unionByName(same).distinct(), "similar-candidates")
     wanted = written(distinct.where("n > 0").select("k", "whole", "least"), "similar-wanted")
     # One row of each text: by its words and its smallest id, which together may still be those of several rows.
     few = wanted.count() <= BROADCAST_ROWS
@@ -252,7 +256,7 @@ def _grouped(docs: DataFrame, least: float, shingle: int, tables: int, id_col: s
     here = named.join(F.broadcast(one) if few else one, (F.col("whole") == F.col("words")) & F.col("id").eqNullSafe(F.col("least"))).select("k", "text")
     hashed = written(here.mapInArrow(sets, "k long, hashes array<long>").dropDuplicates(["k"]), "similar-sets")
 
-    edges = written(ends.unionByName(same).unionByName(verified(near, hashed, least)), "similar-edges")
+    edges = written(verified(near, hashed, least), "similar-edges")
     edges = _rest(hashed, edges, least)
     of_text = written(connected_components(edges, "similar-components"), "similar-of")
     group = written(distinct.select("k", "whole", "least").join(of_text, F.col("k") == F.col("node"), "left").select("whole", "least", F.coalesce("component", "k").alias("component")), "similar-groups")
