@@ -60,3 +60,13 @@ def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     nothing = langid.learn(df.limit(0).select("lang", "text"))
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_long_runs_of_letters_teach_and_score_as_a_whole(spark):
+    rows = [("en", "q" * 30 + "abcd" * 500 + "q" * 30), ("de", "q" * 30 + "wxyz" * 500 + "q" * 30)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    counts = {(r.lang, r.gram): r.n for r in langid.gram_counts(langid.word_counts(df)).collect()}
+    assert counts["en", "abcd"] == counts["de", "wxyz"] == 500
+    model = langid.learn(df)
+    assert model.predict("q" * 40 + "bcda" * 20_000 + "q" * 40)[0] == "en" and model.predict("q" * 40 + "xyzw" * 20_000 + "q" * 40)[0] == "de"
+    assert not any(len(w) > langid.LONGEST_WORD for w in model.kept)

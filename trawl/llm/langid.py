@@ -38,8 +38,8 @@ from trawl.llm.shared import schema_of, written
 
 #: The words and n-grams that the model keeps, over all languages; letters of the longest n-gram.
 WORDS, GRAMS, LONGEST = 200_000, 100_000, 4
-#: Words longer than this are scored but not kept, and count for the model by their first and last letters only.
-LONGEST_WORD = 40
+#: Runs of letters longer than this are never kept or remembered as words: all their n-grams teach and score, so many at once.
+LONGEST_WORD, PART = 40, 16_384
 #: Unseen words that a worker remembers, and counters that a task holds before it hands them on.
 REMEMBERED, HELD = 400_000, 400_000
 SMOOTH = 0.5
@@ -82,6 +82,10 @@ def gram_counts(counted: DataFrame) -> DataFrame:
                 own = counts.setdefault(lang, Counter())
                 for gram in grams(word):
                     own[gram] += n
+                    if len(own) > HELD:
+                        yield table(counts)
+                        counts = {}
+                        own = counts.setdefault(lang, Counter())
             if sum(map(len, counts.values())) > HELD:
                 yield table(counts)
                 counts = {}
@@ -96,9 +100,7 @@ def gram_counts(counted: DataFrame) -> DataFrame:
 
 
 def grams(word: str) -> Iterator[str]:
-    """All n-grams of a word, single letters without the borders. Of a very long word only its ends."""
-    if len(word) > LONGEST_WORD:
-        word = word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
+    """All n-grams of a word, single letters without the borders."""
     yield from word
     edged = f"<{word}>"
     for n in range(2, LONGEST + 1):
@@ -122,12 +124,23 @@ class Model:
 
     def longest_known(self, word: str) -> list[int]:
         """Rows of the word's known n-grams of the greatest length that has any."""
-        short = word if len(word) <= LONGEST_WORD else word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
-        edged, known = f"<{short}>", self.tables
+        edged, known = f"<{word}>", self.tables
         for n in range(LONGEST, 1, -1):
             if found := [known[g] for g in (edged[k : k + n] for k in range(len(edged) - n + 1)) if g in known]:
                 return found
-        return [known[g] for g in short if g in known]
+        return [known[g] for g in word if g in known]
+
+    def score_of_run(self, word: str) -> np.ndarray:
+        """The score of an unseen word of any length, its n-grams taken in parts."""
+        known, edged = self.tables, f"<{word}>"
+        for n in range(LONGEST, 0, -1):
+            run, total, count = edged if n > 1 else word, np.zeros(len(self.langs)), 0
+            for at in range(0, len(run) - n + 1, PART):
+                if found := [known[g] for g in (run[k : k + n] for k in range(at, min(at + PART, len(run) - n + 1))) if g in known]:
+                    total, count = total + self.gram_rows[found].sum(0), count + len(found)
+            if count:
+                return total / count
+        return np.zeros(len(self.langs))
 
     def scores_of(self, words: list[str]) -> np.ndarray:
         """Scores of unseen words, a row each."""
@@ -146,14 +159,19 @@ class Model:
             return "und", 0.0
         if len(self.kept) > len(self.words) + REMEMBERED:
             self.forget()
-        kept = self.kept
+        kept, runs = self.kept, np.zeros(len(self.langs))
+        if max(map(len, found)) > LONGEST_WORD:
+            for w in found:
+                if len(w) > LONGEST_WORD:
+                    runs = runs + self.score_of_run(w)
+            found = [w for w in found if len(w) <= LONGEST_WORD]
         if new := list(set(found).difference(kept)):
             size = len(kept)
             if size + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows[:size], np.zeros((max(4096, size // 2, len(new)), len(self.langs)))])
             self.rows[size : size + len(new)] = self.scores_of(new)
             kept.update(zip(new, range(size, size + len(new)), strict=True))
-        total = self.rows[np.fromiter(map(kept.__getitem__, found), np.int64, len(found))].sum(0) + self.prior
+        total = self.rows[np.fromiter(map(kept.__getitem__, found), np.int64, len(found))].sum(0) + runs + self.prior
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
