@@ -70,3 +70,12 @@ def test_long_runs_of_letters_teach_and_score_as_a_whole(spark):
     model = langid.learn(df)
     assert model.predict("q" * 40 + "bcda" * 20_000 + "q" * 40)[0] == "en" and model.predict("q" * 40 + "xyzw" * 20_000 + "q" * 40)[0] == "de"
     assert not any(len(w) > langid.LONGEST_WORD for w in model.kept)
+
+
+def test_a_rare_language_keeps_its_own_words_and_grams(spark):
+    frequent = " ".join("".join(chr(97 + (k * 7 + j * (k % 5 + 1)) % 13) for j in range(5)) for k in range(60))
+    df = spark.createDataFrame([("en", frequent)] * 50 + [("xx", "zyzz yzyy zzyz")], "lang string, text string")
+    model = langid.learn(df, words=20, most_grams=40)
+    assert {"zyzz", "yzyy", "zzyz"} <= set(model.words) and {"zyzz", "zy", "y"} & set(model.tables)
+    assert any(set(w) - set("zy") for w in model.words) and len(model.words) <= 23
+    assert model.predict("zyzz zzyzy")[0] == "xx"

@@ -2,9 +2,10 @@
 
 Learning counts the words of every language over all labelled texts, and from
 those word counts the character n-grams (1 to ``LONGEST`` letters, with word
-borders). The model keeps the most frequent ``WORDS`` words and ``GRAMS`` n-grams
-of all languages together; both bounds are parameters, and fix the size of what
-is broadcast.
+borders). The model keeps ``WORDS`` words and ``GRAMS`` n-grams, shared out equally:
+of each language its own most frequent ones, so that frequent languages never
+crowd out a rare one. Both bounds are parameters, and fix the size of what is
+broadcast; what lies beyond them is scored as unseen.
 
 A known word scores its smoothed log frequency in each language. An unseen word
 scores the mean of its known n-grams of the greatest length that has any; only if
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from trawl.llm.shared import schema_of, written
 
-#: The words and n-grams that the model keeps, over all languages; letters of the longest n-gram.
+#: The words and n-grams that the model keeps, shared out equally to the languages; letters of the longest n-gram.
 WORDS, GRAMS, LONGEST = 200_000, 100_000, 4
 #: Runs of letters longer than this are never kept or remembered as words: all their n-grams teach and score, so many at once.
 LONGEST_WORD, PART = 40, 16_384
@@ -176,17 +177,20 @@ class Model:
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def at_most(df: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows with the largest counts, down to the smallest step of a histogram that keeps them within ``most``.
-    Nothing is sorted, and no task gathers candidates."""
-    step = F.floor(F.log2(count) * 32)
-    kept, floor = 0, None
-    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
-        kept += r["count"]
-        if kept > most:
-            break
-        floor = r.step
-    return df.where(step >= floor) if floor is not None else df.limit(0)
+def most_of_each(df: DataFrame, name: str, quota: int) -> DataFrame:
+    """The names that are among the ``quota`` most frequent of any language (rows ``lang, name, n``). The step of a
+    histogram in which a quota ends is taken in part, by hash. Nothing is sorted, and no task gathers candidates."""
+    step, parts = F.floor(F.log2("n") * 32), 1 << 20
+    left, floors = {}, {}
+    for r in sorted(df.groupBy("lang", step.alias("step")).count().collect(), key=lambda r: (r.lang, -r.step)):
+        room = left.setdefault(r.lang, quota)
+        if room > 0:
+            floors[r.lang] = (r.lang, r.step, min(parts, -(-parts * room // r["count"])))
+        left[r.lang] = room - r["count"]
+    spark = df.sparkSession
+    bounds = F.broadcast(spark.createDataFrame(list(floors.values()), "lang string, floor long, share long"))
+    near = (step > F.col("floor")) | ((step == F.col("floor")) & (F.pmod(F.xxhash64(name), F.lit(parts)) < F.col("share")))
+    return df.join(bounds, "lang").where(near).select(name).distinct()
 
 
 def learn(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> Model:
@@ -201,9 +205,10 @@ def learn(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> M
 
     def frequencies(df: DataFrame, name: str, most: int, size: Column) -> tuple[dict[str, int], np.ndarray]:
         totals = {(r.lang, r.size): r.n + r.kinds for r in df.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-        summed = written(df.groupBy(name).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "langid-summed")
+        summed = written(df.groupBy(name).agg(F.collect_list(F.struct("lang", "n")).alias("by")), "langid-summed")
         names, rows = {}, []
-        for r in at_most(summed, "all", most).select(name, "by", size.alias("size")).toLocalIterator():
+        chosen = written(most_of_each(df, name, max(1, most // len(langs))), "langid-chosen")
+        for r in summed.join(chosen, name, "left_semi").select(name, "by", size.alias("size")).toLocalIterator():
             own = dict(map(tuple, r.by))
             names[r[name]] = len(names)
             rows.append([math.log((own.get(x, 0) + SMOOTH) / (totals.get((x, r.size), 0) + SMOOTH)) for x in langs])
