@@ -57,7 +57,7 @@ BLOCK = 65_536
 TABLES, SAMPLE = 6, 3
 BLOCK_ROWS, BLOCK_HASHES, COLUMNS = 2_048, 2_000_000, 2_048
 #: Texts of the sample that tells frequent shingles from rare ones, and the frequent shingles that are told apart.
-RARITY_TEXTS, FREQUENT = 20_000, 500_000
+RARITY_TEXTS, FREQUENT = 5_000, 500_000
 #: Rows up to which the texts to compare are looked up by broadcasting their ids (some 60 bytes each); beyond it by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -254,7 +254,10 @@ def _grouped(docs: DataFrame, least: float, shingle: int, tables: int, id_col: s
     named = texts.mapInArrow(lambda batches: _with_words(batches, 1, "whole"), T.StructType([*texts.schema, T.StructField("whole", T.BinaryType())]))
     one = wanted.select("k", F.col("whole").alias("words"), "least")
     here = named.join(F.broadcast(one) if few else one, (F.col("whole") == F.col("words")) & F.col("id").eqNullSafe(F.col("least"))).select("k", "text")
-    hashed = written(here.mapInArrow(sets, "k long, hashes array<long>").dropDuplicates(["k"]), "similar-sets")
+    hashed = written(here.mapInArrow(sets, "k long, hashes array<long>"), "similar-sets")
+    repeated = written(hashed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "similar-repeated")
+    if not repeated.isEmpty():
+        hashed = written(hashed.join(repeated, "k", "left_anti").unionByName(hashed.join(repeated, "k", "left_semi").dropDuplicates(["k"])), "similar-sets")
 
     edges = written(verified(near, hashed, least), "similar-edges")
     edges = _rest(hashed, edges, least)
@@ -279,7 +282,11 @@ def verified(pairs: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets (``k, hashes``) have that Jaccard similarity or more."""
     a, b = hashed.toDF("a", "x"), hashed.toDF("b", "y")
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(a, "a").join(b, "b").where(_fit(F.size("x"), F.size("y"), least))
+    if pairs.count() <= BROADCAST_ROWS:  # then only the sets of pairs are shuffled
+        both = a.join(F.broadcast(pairs), "a").join(b.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        both = pairs.join(a, "a").join(b, "b")
+    both = both.where(_fit(F.size("x"), F.size("y"), least))
     return both.where(common >= least * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
