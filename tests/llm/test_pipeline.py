@@ -5,10 +5,11 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from test_simhash_similar import slow_set
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trawl.llm import cotraining, simhash
+from trawl.llm import cotraining
 from trawl.llm.entry import oracle_sql, queries
 from trawl.llm.shared import table, written
 
@@ -42,10 +43,9 @@ def test_quality_keeps_what_scores_high(spark, steps):
 
 def test_near_duplicates_against_all_pairs(steps):
     docs = rows(steps[1])
-    sets = [set(simhash.shingle_hashes(d["text"], 5)[1].tolist()) for d in docs]
-    prints = [simhash.fingerprint(d["text"], 5) for d in docs]
+    sets = [slow_set(d["text"]) for d in docs]
     n, label = len(docs), list(range(len(docs)))
-    linked = [[j for j in range(n) if bin(prints[i] ^ prints[j]).count("1") <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(n)]
+    linked = [[j for j in range(n) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(n)]
     for _ in range(n):
         new = [min([label[i], *(label[j] for j in linked[i])]) for i in range(n)]
         if new == label:

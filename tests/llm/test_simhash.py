@@ -105,65 +105,3 @@ def test_query_shape_with_nulls_repeats_and_odd_texts(spark):
     got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == want
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("block", [2048, 8])
-def test_similar_texts_are_joined_and_one_of_each_stays(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
-    rng = random.Random(6)
-    some = [t for t in texts(7, 60) if len(t.split()) > 20]
-    hub = [rng.choice(some[0].split()) + str(k) for k in range(150)]
-    for _ in range(60):
-        t = list(hub)
-        for _ in range(rng.choice([1, 2, 3])):
-            t[rng.randrange(150)] = "changed" + str(rng.random())
-        some.append(" ".join(t))
-    rows = list(enumerate(some)) + [(900, None), (901, ""), (902, "two words"), (903, "Two Words"), (903, "another of this id"), (None, "only once null")]
-    df = spark.createDataFrame([(a, b, "whole") for a, b in rows], "doc_id long, text string, whole string").repartition(3)
-    sets = [simhash.shingle_hashes(t, 5) for _, t in rows]
-    prints = [slow_print(t, 5) for _, t in rows]
-
-    def linked(i, j):
-        a, b = set(sets[i][1].tolist()), set(sets[j][1].tolist())
-        return sets[i][0] == sets[j][0] or bin(prints[i] ^ prints[j]).count("1") <= 2 or len(a & b) >= 0.8 * len(a | b) > 0
-
-    label = components(len(rows), linked)
-    least = {g: min((rows[i][0] for i in range(len(rows)) if label[i] == g and rows[i][0] is not None), default=None) for g in set(label)}
-    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.similar(df, tables=30).collect())
-    assert got == sorted((str(rows[i][0]), str(least[label[i]])) for i in range(len(rows)))
-    kept = simhash.one_of_each(df, tables=30)
-    assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(x) for x in least.values()})
-    assert simhash.one_of_each(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("most", [32, 0])
-def test_short_texts_at_the_threshold_are_all_joined(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "MOST", most)
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
-    rows = []
-    for k in range(300):
-        words = [f"w{k}x{j}" for j in range(9)]
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]  # 4 of 5 shingles
-    rows += [(1000 + k, " ".join(f"w{k}x{j}" for j in range(7))) for k in range(20)]  # 3 of 4 and of 5
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
-    assert got == {k: k // 2 * 2 if k < 1000 else k for k, _ in rows}
-
-
-def test_rows_with_equal_or_no_ids_stay_if_their_texts_differ(spark):
-    text = lambda name: " ".join(f"{name}{j}" for j in range(30))
-    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (7, text("c")), (7, text("d")), (7, text("d").upper()), (3, text("d") + " more"), (9, text("e")), (9, text("e"))]
-    df = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, whole string").repartition(3)
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns
-    got = sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text)
-    assert got == sorted([("None", text("a")), ("None", text("b")), ("7", text("c")), ("3", text("d") + " more"), ("9", text("e"))])
-    assert kept.count() == 6
-
-
-def test_equal_fingerprints_of_repeats_do_not_join_different_texts(spark):
-    rows = [(k, "again " * 400 + " ".join(f"own{k}x{j}" for j in range(100))) for k in range(4)]
-    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {0, 1, 2, 3}
