@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import cotraining, mixing, packing, secretscan, simhash
+from trawl.llm import cotraining, mixing, packing, secretscan, simhash_similar
 from trawl.llm.shared import table, written
 
 #: Words of a shingle, and the similarity from which documents are near-duplicates.
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs, least=ALIKE, shingle=SHINGLE)
+    return simhash_similar.one_of_each(docs, least=ALIKE, shingle=SHINGLE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
