@@ -78,7 +78,7 @@ def test_round_trip_with_nulls_repeats_and_odd_payloads(spark):
     rows = [
         (5, "http://a", "x" * 200), (3, "http://b\r\nWARC/1.1", "x" * 200), (9, None, "x" * 200), (7, "u", "short"), (8, "u", "short"),
         (1, "u", None), (2, "u", ""), (None, "u", "x" * 200), (4, "u", "é\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9),
-        (3, "u", "x" * 200), (10, "u", "q" * 3_000_000),
+        (3, "u", "x" * 200), (10, "u", "q" * 3_000_000), (11, "http://" + "long/" * 14_000, "y" * 150),
     ]
     pages = spark.createDataFrame([(a, b, c, "other", 1) for a, b, c in rows], "page_id long, url string, html string, digest string, refers_to int").repartition(3)
     got = sorted(((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()))
@@ -102,3 +102,47 @@ def test_gaps_are_rows_and_payloads_are_kept(spark, tmp_path):
     assert bytes(got[0].payload) == b"payload 0 " * 30
     assert warc.read_archives(spark.createDataFrame([], "file string")).count() == 0
 
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
+def test_long_headers_and_stated_lengths(chunk, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    parts = made(3)
+    long = warc.record("response", 7, "http://x/" + "u" * 70_000, b"body", hashlib.sha256(b"body").hexdigest(), None, DATE)
+    assert salvaged(b"".join([parts[0], long, parts[1]]), False) == ([0, 7, 1], [])
+    assert salvaged(b"".join(zlib.compress(x, 5, 31) for x in (parts[0], long, parts[1])), True) == ([0, 7, 1], [])
+    # a length beyond the end of the file fails at once, and what follows comes back
+    wrong = parts[0].replace(b"Content-Length: ", b"Content-Length: 99999999999", 2)
+    ids, gaps = salvaged(wrong + parts[1], False)
+    assert ids == [1] and gaps == [(0, len(wrong), "the record is cut off")]
+    # a version line that no header follows
+    ids, gaps = salvaged(b"WARC/1.1\r\nno colon\r\n" + parts[2], False)
+    assert ids == [2] and gaps[0][:2] == (0, 20)
+
+
+def test_records_of_one_large_member_come_one_at_a_time():
+    body = bytes(200_000)
+    data = zlib.compress(b"".join(warc.record("response", k, "u", body, "", None, DATE) for k in range(100)), 5, 31)
+
+    class Source(io.BytesIO):
+        def read_at(self, n, at):
+            return data[at : at + n]
+
+    source = Source()
+    for k, x in enumerate(warc.Member(source, 0, len(data))):
+        assert x[2]["warc-record-id"] == f"<urn:page:{k}>"
+    assert k == 99
+    plain, held = warc.Plain(), 0
+    for out, last in warc.Member(source, 0, len(data)).text():
+        assert len(out) <= warc.CHUNK
+        for _ in plain.feed(out, last):
+            pass
+        held = max(held, len(plain.held))
+    assert held < 2 * warc.CHUNK + 400_000
+
+
+def test_a_record_without_a_digest_in_a_member_whose_check_fails_is_set_aside():
+    text = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    good, bad = zlib.compress(text, 5, 31), bytearray(zlib.compress(text, 5, 31))
+    bad[-6] ^= 1
+    assert salvaged(bytes(bad) + good, True) == ([5], [(0, len(bad), salvaged(bytes(bad), True)[1][0][2])])

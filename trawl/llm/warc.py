@@ -10,8 +10,11 @@ Reader: each record has to pass its checks (version line, header lines, length,
 end of record, block digest). After a failure the reader looks for the next
 place where a member with a version line (compressed) or a version line
 (plain) begins, goes on from there, and logs the bytes between as a gap with its
-reason. Records are taken one at a time; what waits in memory is one record of
-at most ``LARGEST`` bytes.
+reason. Records are taken one at a time and handed on as they come, also from a
+member that holds many; no header, record, member or file is too long. What
+waits in memory is one record as its header states it (never more than is left of
+the file), a chunk of it decompressed at a time. A record of a damaged member is
+kept if its own digest holds.
 
 Nulls, empty and odd input: a null payload is written empty; a null address is
 left out; a null page id is written as such and read back as null, and refers to
@@ -37,8 +40,8 @@ from trawl.llm.shared import fresh_path, written
 
 #: Bytes from which on an equal payload is written as a revisit.
 REVISIT_FROM = 100
-#: Bytes after which a task begins a new archive; bytes of a record the reader accepts; bytes of its header.
-ROLL, LARGEST, HEADER = 64_000_000, 1 << 30, 1 << 16
+#: Bytes after which a task begins a new archive.
+ROLL = 64_000_000
 CHUNK, FLUSH = 1 << 20, 4_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
@@ -112,10 +115,14 @@ def _manifest(folder: str, name: str, count: int, size: int) -> pa.RecordBatch:
 
 
 class Plain:
-    """Records of an uncompressed stream that arrives in parts. Yields (position, header lines, block) and gaps (from, to, reason)."""
+    """Records of an uncompressed stream that arrives in parts. Yields (position, header lines, block) and gaps (from, to, reason).
 
-    def __init__(self) -> None:
-        self.held, self.at, self.gap, self.reason, self.need = bytearray(), 0, None, "", 0
+    ``size``: where the stream ends, if that is known; a record that would end later fails at once.
+    """
+
+    def __init__(self, size: int | None = None) -> None:
+        self.held, self.at, self.gap, self.reason, self.size = bytearray(), 0, None, "", size
+        self.need = self.line = self.looked = 0
 
     def feed(self, data: bytes, last: bool = False) -> Iterator[tuple]:
         self.held += data
@@ -143,25 +150,40 @@ class Plain:
 
     def skip(self, n: int) -> None:
         del self.held[:n]
-        self.at, self.need = self.at + n, 0
+        self.at, self.need, self.line, self.looked = self.at + n, 0, 0, 0
+
+    def header(self, last: bool) -> tuple | str:
+        """Where the header ends, or what is wrong with it. Lines are looked at once each, as they come; ``line`` is where the next begins."""
+        while True:
+            end = self.held.find(b"\r\n", max(self.line, self.looked - 1))
+            if end == self.line:
+                return "ok", end + 2
+            if end < 0 and CONTROL.search(self.held, self.line, len(self.held) - self.held.endswith(b"\r")) or end > 0 and (CONTROL.search(self.held, self.line, end) or self.held.find(b":", self.line, end) < 0):
+                return "bad", "header line without a colon, or with control characters"
+            if end < 0:
+                self.looked, self.need = len(self.held), len(self.held) + 1
+                return ("bad", "header does not end") if last else "more"
+            self.line = self.looked = end + 2
 
     def take(self, last: bool) -> tuple | str:
-        start = VERSION.match(self.held)
-        if not start:
-            return ("bad", "no version line") if last or len(self.held) >= 10 else "more"
-        end = self.held.find(b"\r\n\r\n", 0, HEADER)
-        if end < 0:
-            return ("bad", "header does not end") if last or len(self.held) >= HEADER else "more"
-        lines = {}
-        for line in bytes(self.held[start.end() : end]).split(b"\r\n"):
-            name, colon, value = line.partition(b":")
-            if not colon or CONTROL.search(line):
-                return "bad", "header line without a colon, or with control characters"
+        if not self.line:
+            start = VERSION.match(self.held)
+            if not start:
+                return ("bad", "no version line") if last or len(self.held) >= 10 else "more"
+            self.start = self.line = start.end()
+        got = self.header(last)
+        if got[0] != "ok":
+            return got
+        body, lines = got[1], {}
+        for line in bytes(self.held[self.start : body - 4]).split(b"\r\n"):
+            name, _, value = line.partition(b":")
             lines[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
         length = lines.get("content-length", "")
-        if not (length.isascii() and length.isdigit()) or int(length) > LARGEST:
+        if not (length.isascii() and length.isdigit()):
             return "bad", "no valid length"
-        body, stop = end + 4, end + 4 + int(length)
+        stop = body + int(length)
+        if self.size is not None and self.at + stop + 4 > self.size:
+            return "bad", "the record is cut off"
         if len(self.held) < stop + 4:
             self.need = stop + 4
             return ("bad", "the record is cut off") if last else "more"
@@ -178,7 +200,7 @@ def salvage(source, compressed: bool) -> Iterator[tuple]:
     """Records and gaps of one open file that can be sought in."""
     size = source.size()
     if not compressed:
-        plain, at = Plain(), 0
+        plain, at = Plain(size), 0
         while at < size:
             data = source.read_at(min(CHUNK, size - at), at)
             at += len(data)
@@ -186,40 +208,62 @@ def salvage(source, compressed: bool) -> Iterator[tuple]:
         return
     at, gap, why = 0, None, ""
     while at < size:
-        end, found, reason = member(source, at, size)
-        for x in found:
-            if x[0] == "record" and gap is not None:
+        for x in (found := Member(source, at, size)):
+            if gap is not None:
                 yield "gap", gap, at, why
                 gap = None
-            if x[0] == "record":
-                yield x
-        if end is not None and not reason:
-            at = end
+            yield x
+        if not found.reason:
+            at = found.end
             continue
         # Damaged: what lies between here and the next member that begins as a record is set aside.
-        gap, why = (at, reason) if gap is None else (gap, why)
-        at = next_member(source, (end or at + 1), size)
+        gap, why = (at, found.reason) if gap is None else (gap, why)
+        at = next_member(source, found.end or at + 1, size)
     if gap is not None:
         yield "gap", gap, size, why
 
 
-def member(source, at: int, size: int) -> tuple[int | None, list, str]:
-    """Where the member at ``at`` ends (None: it doesn't), its records, and what is wrong with it."""
-    unzip, plain, found, pos, total = zlib.decompressobj(31), Plain(), [], at, 0
-    try:
-        while not unzip.eof and pos < size:
-            data = source.read_at(min(CHUNK if pos > at else 1 << 16, size - pos), pos)
+class Member:
+    """The records of the gzip member at ``at``. After them: where it ends (``end``; None: it doesn't), and what is wrong with it (``reason``)."""
+
+    def __init__(self, source, at: int, size: int):
+        self.source, self.at, self.size, self.end, self.reason = source, at, size, None, ""
+
+    def __iter__(self) -> Iterator[tuple]:
+        plain, waiting = Plain(), None
+        try:
+            for out, last in self.text():
+                for x in plain.feed(out, last):
+                    if x[0] == "gap":
+                        self.reason = self.reason or x[3]
+                        continue
+                    if waiting:
+                        yield waiting
+                    waiting = "record", self.at, *x[2:]
+        except zlib.error as e:
+            self.end, self.reason = None, f"member: {e}"
+        if not waiting and not self.reason:
+            self.reason = "no record in the member"
+        # The last record has only its own digest to vouch for it if the member's check fails.
+        if waiting and (not self.reason or waiting[2].get("warc-block-digest", "").lower().startswith("sha256:")):
+            yield waiting
+
+    def text(self) -> Iterator[tuple[bytes, bool]]:
+        """The member's text in chunks, and whether they are the last; sets ``end``."""
+        unzip, pos = zlib.decompressobj(31), self.at
+        while not unzip.eof and pos < self.size:
+            data = self.source.read_at(min(CHUNK if pos > self.at else 1 << 16, self.size - pos), pos)
             pos += len(data)
-            out = unzip.decompress(data)
-            total += len(out)
-            found += [(x[0], at, *x[2:]) for x in plain.feed(out)]
-    except zlib.error as e:
-        return None, [x for x in found if x[0] == "record"], f"member: {e}"
-    if not unzip.eof:
-        return None, [x for x in found if x[0] == "record"], "the member is cut off"
-    found += [(x[0], at, *x[2:]) for x in plain.feed(b"", True)]
-    bad = next((x[3] for x in found if x[0] == "gap"), "" if found else "no record in the member")
-    return pos - len(unzip.unused_data), [x for x in found if x[0] == "record"], bad
+            while True:
+                out = unzip.decompress(data, CHUNK)
+                data = unzip.unconsumed_tail
+                yield out, False
+                if unzip.eof or not data and len(out) < CHUNK:
+                    break
+        if not unzip.eof:
+            raise zlib.error("cut off")
+        self.end = pos - len(unzip.unused_data)
+        yield b"", True
 
 
 def next_member(source, at: int, size: int) -> int:
