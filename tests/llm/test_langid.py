@@ -17,6 +17,52 @@ def corpus(n, seed=1):
     return [(k, " ".join(rng.choice(SAMPLE[lang]) for _ in range(rng.randrange(3, 30))), lang) for k in range(n) for lang in [rng.choice(sorted(SAMPLE))]]
 
 
+def test_only_letters_are_letters():
+    model = langid.Model(["en"], {}, np.zeros((0, 1)), {}, np.zeros((0, 1)), np.zeros(1))
+    for text in ("½ ²", "Ⅷ ⅓ ①", "12_3 — ₤", "٣", ""):
+        assert model.predict(text) == ("und", 0.0)
+    assert langid.LETTERS.findall("a½b Ⅷé 漢字 ไทย ǅ") == ["a", "b", "é", "漢字", "ไทย", "ǅ"]
+
+
+def brute_force(rows, langs, text):
+    """The definition, without tables, parts or memory: all words and n-grams are known."""
+    words, grams, prior = Counter(), Counter(), Counter(c for _, _, c in rows if c)
+    for _, t, c in rows:
+        for w in langid.LETTERS.findall((t or "").lower()) if c else []:
+            words[c, w] += 1
+            grams.update((c, g) for g in langid.grams(w))
+    vocabulary, seen = {w for _, w in words}, {g for _, g in grams}
+
+    def log_of(counts, lang, name, like):
+        own = {k: n for k, n in counts.items() if k[0] == lang and like(k[1])}
+        return math.log((counts[lang, name] + langid.SMOOTH) / (sum(own.values()) + len(own) + langid.SMOOTH))
+
+    scores = []
+    for lang in langs:
+        total = math.log(prior[lang] / sum(prior.values()))
+        for w in langid.LETTERS.findall(text.lower()):
+            if w in vocabulary:
+                total += log_of(words, lang, w, lambda _: True)
+                continue
+            for n in range(langid.LONGEST, 0, -1):
+                known = [g for g in langid.grams(w) if len(g) == n and g in seen]
+                if known:
+                    total += sum(log_of(grams, lang, g, lambda x, n=n: len(x) == n) for g in known) / len(known)
+                    break
+        scores.append(total)
+    return langs[scores.index(max(scores))], 1 / sum(math.exp(x - max(scores)) for x in scores)
+
+
+def test_predictions_equal_brute_force(spark):
+    rows = corpus(25, seed=8)
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", "text"))
+    langs = sorted({c for _, _, c in rows})
+    assert model.langs == langs
+    for text in ("the haus maison", "thehaus unseenwords qqq", "schönes où x", "zzz", "hous mans avec", rows[0][1]):
+        got, want = model.predict(text), brute_force(rows, langs, text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-9)
+
+
 def test_counts_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(langid, "HELD", 5)
     rows = [*corpus(60), (90, None, "en"), (91, "x", None), (92, "", "de"), (93, "Ärger 3x a_b É", "de"), (93, "Ärger 3x a_b É", "de"), (94, "q" * 90, "fr")]

@@ -14,7 +14,8 @@ single letters. A text's score is the sum over its words; the prediction is the
 best language, ties going to the smaller name, and its score the posterior
 probability under the languages' shares of the learned texts.
 
-Words are maximal runs of letters, in lower case; texts are read whole.
+Words are maximal runs of letters (of any script; numbers such as fractions are
+none), in lower case; texts are read whole.
 
 Nulls, empty and odd input: null or letterless text gives ``und`` with score 0,
 and so does everything if nothing could be learned; rows with a null language
@@ -24,13 +25,13 @@ empty table gives an empty result; other columns are ignored whatever their name
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,9 @@ LONGEST_WORD, PART = 40, 16_384
 #: Unseen words that a worker remembers, and counters that a task holds before it hands them on.
 REMEMBERED, HELD = 400_000, 400_000
 SMOOTH = 0.5
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters only: ``\w`` also takes numbers that are no digits, such as fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def is_held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -205,14 +208,18 @@ def learn(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> M
 
     def frequencies(df: DataFrame, name: str, most: int, size: Column) -> tuple[dict[str, int], np.ndarray]:
         totals = {(r.lang, r.size): r.n + r.kinds for r in df.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-        summed = written(df.groupBy(name).agg(F.collect_list(F.struct("lang", "n")).alias("by")), "langid-summed")
-        names, rows = {}, []
         chosen = written(most_of_each(df, name, max(1, most // len(langs))), "langid-chosen")
-        for r in summed.join(chosen, name, "left_semi").select(name, "by", size.alias("size")).toLocalIterator():
-            own = dict(map(tuple, r.by))
-            names[r[name]] = len(names)
-            rows.append([math.log((own.get(x, 0) + SMOOTH) / (totals.get((x, r.size), 0) + SMOOTH)) for x in langs])
-        return names, np.array(rows, np.float64).reshape(len(rows), len(langs))
+        found = df.join(chosen, name, "left_semi").select(name, "lang", "n", size.alias("size")).toArrow().combine_chunks()
+        coded = pc.dictionary_encode(found.column(name)).combine_chunks()
+        column = pc.index_in(found.column("lang"), pa.array(langs)).to_numpy()
+        row, sizes = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        sizes[row] = found.column("size").to_numpy()
+        counts = np.zeros((len(sizes), len(langs)))
+        counts[row, column] = found.column("n").to_numpy()
+        kinds = np.unique(sizes)
+        of_size = np.array([[totals.get((x, int(k)), 0) for x in langs] for k in kinds], np.float64).reshape(len(kinds), len(langs))
+        rows = np.log((counts + SMOOTH) / (of_size[np.searchsorted(kinds, sizes)] + SMOOTH))
+        return {x: k for k, x in enumerate(coded.dictionary.to_pylist())}, rows
 
     some_words = frequencies(counted.where(F.length("word") <= LONGEST_WORD), "word", words, F.lit(0))
     some_grams = frequencies(grammed, "gram", most_grams, F.length("gram"))
