@@ -39,9 +39,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    if args.cmd == "gate":
-        return _gate(args)
     spark = spark or SparkSession.builder.appName("trawl").getOrCreate()
+    if args.cmd == "gate":
+        return _gate(spark, args)
     from trawl.plans import agent, answer, evaluate, export
     from trawl.plans.pipeline import Pipeline
     from trawl.sources.records import Store, append_json, load, read_queries
@@ -78,15 +78,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(answer.answer(q, p.search(q, args.k, expand=True), p.entities, args.k).first().text)
         elif args.cmd == "investigate":
             report = agent.investigate(p, args.question, args.n)
-            print(report.text + "\n\n--- trace")
-            for s in report.trace:
-                print(f"  {s.kind:15s} {s.detail[:76]:78s} hits={s.hits}")
-            print(f"  stopped: {report.stopped_because} after {report.iterations} iteration(s)")
+            print(report["report"] + "\n\n--- trace")
+            for step in report["trace"]:
+                print("  {kind:15s} {detail:78.76s} hits={hits}".format(**step))
+            print("  stopped: {stopped_because} after {iterations} iteration(s)".format(**report))
         elif args.cmd == "link":
             print(json.dumps(agent.link(p, args.a, args.b, args.hops), indent=2, ensure_ascii=False))
         elif args.cmd == "evaluate":
             found = evaluate.run(p, read_queries(spark, args.queries), path=args.out)
-            print(evaluate.as_table(found) + "\n\nby family (recall@5):")
+            print(evaluate.as_table(spark, found) + "\n\nby family (recall@5):")
             for family, systems in sorted(found["by_family"].items()):
                 print(f"  {family:10s} " + "  ".join(f"{s}={m['recall@5']:.2f}" for s, m in systems.items()))
         elif args.cmd == "train-rerank":
@@ -102,14 +102,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
-def _gate(args) -> int:
-    from trawl.plans.evaluate import check
+def _gate(spark: SparkSession, args) -> int:
+    from trawl.plans.evaluate import gate, long
 
     with open(args.results, encoding="utf-8") as f, open(args.baseline, encoding="utf-8") as g:
         results, baseline = json.load(f), json.load(g)
     for system, m in results.get("overall", {}).items():
         print(f"  {system:20s} recall@10={m.get('recall@10', 0):.3f}  mrr@10={m.get('mrr@10', 0):.3f}")
-    failures = check(results, baseline, args.tolerance)
+    worse = gate(long(spark, results), long(spark, baseline), args.tolerance, baseline.get("primary", "hybrid+rerank"))
+    failures = [r.failure for r in worse.orderBy("failure").collect()]
     print("\nquality gate " + ("FAILED:\n" + "\n".join(f"  - {x}" for x in failures) if failures else "passed"))
     return int(bool(failures))
 

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from trawl.operators import graph
 from trawl.plans import agent, answer
-from trawl.plans.observability import METRICS, configure_logging, log, new_request_id, stage
+from trawl.plans.observability import REGISTRY, Timed, begin_request, log, log_as_json
+
+
+#: Most neighbours that a page shows; a hub may have millions.
+NEIGHBOURS = 1_000
 
 
 class Refused(Exception):
@@ -46,13 +50,14 @@ def _flag(given: dict, name: str, default: bool) -> bool:
 def respond(pipeline, method: str, path: str, given: dict):
     """The answer to one request, as JSON values (or text for /metrics). Raises ``Refused``."""
     if (method, path) == ("GET", "/metrics"):
-        return METRICS.render()
+        return REGISTRY.exposition()
     if (method, path) == ("GET", "/health"):
         return {"status": "ok", "entities": pipeline.entities.count(), "relations": pipeline.relations.count()}
     if (method, path) == ("GET", "/search"):
         q, k = _text(given, "q", 2), _number(given, "k", 10, 1, 50)
-        with stage("retrieve", query_len=len(q), k=k):
+        with Timed("retrieve", query_len=len(q), k=k) as timed:
             rows = pipeline.hits(pipeline.search(q, k, expand=_flag(given, "expand", False))).collect()
+            timed.results = len(rows)
         return [{c: r[c] for c in ("id", "caption", "schema", "countries", "topics", "datasets", "score")} for r in rows]
     if (method, path) == ("POST", "/ask"):
         question, k = _text(given, "question", 3, 500), _number(given, "k", 8, 1, 50)
@@ -64,7 +69,7 @@ def respond(pipeline, method: str, path: str, given: dict):
     if (method, path) == ("POST", "/investigate"):
         if given.get("engine", "rules") != "rules":
             raise Refused(422, "engine must be rules")
-        return agent.investigate(pipeline, _text(given, "question", 3, 500), _number(given, "max_iterations", 3, 1, 6), _number(given, "k", 8, 1, 50), _flag(given, "expand", True)).as_dict()
+        return agent.investigate(pipeline, _text(given, "question", 3, 500), _number(given, "max_iterations", 3, 1, 6), _number(given, "k", 8, 1, 50), _flag(given, "expand", True))
     if (method, path) == ("GET", "/link"):
         found = agent.link(pipeline, _text(given, "a", 2), _text(given, "b", 2), _number(given, "hops", 3, 0, 10))
         if not found["found"] and found["reason"].endswith("not found"):
@@ -74,7 +79,8 @@ def respond(pipeline, method: str, path: str, given: dict):
         e = pipeline.get(unquote(one[1]))
         if e is None:
             raise Refused(404, "unknown entity")
-        near = graph.view(pipeline.entities.where(F.col("id") == e.id).select("id"), pipeline.relations, pipeline.entities).collect()
+        most = _number(given, "neighbours", NEIGHBOURS, 1, NEIGHBOURS)
+        near = graph.view(pipeline.entities.where(F.col("id") == e.id).select("id"), pipeline.relations, pipeline.entities, most).collect()
         fields = {c: e[c] for c in ("id", "caption", "schema", "countries", "topics", "datasets", "properties")}
         return fields | {"neighbours": [{"id": n.neighbour, "caption": n.caption, "relation": n.relation, "direction": n.direction} for n in near]}
     raise Refused(404, "no such page")
@@ -83,16 +89,16 @@ def respond(pipeline, method: str, path: str, given: dict):
 def handler(pipeline) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
         def _serve(self, given: dict) -> None:
-            rid, began, path = new_request_id(), time.perf_counter(), urlsplit(self.path).path
+            rid, began, path = begin_request(), time.perf_counter(), urlsplit(self.path).path
             try:
                 status, body = 200, respond(pipeline, self.command, path, given)
             except Refused as e:
                 status, body = e.status, {"detail": e.detail}
             took = time.perf_counter() - began
-            METRICS.observe("http_request", took)
-            METRICS.count("http_request", f"{self.command} {path}")
-            METRICS.count("http_status", str(status))
-            log.info("request", extra={"extra_fields": {"method": self.command, "path": path, "status": status, "duration_ms": round(1000 * took, 2)}})
+            page = "/" + path.split("/")[1]  # ids would make a sample each
+            REGISTRY.time("http_request", took, page=page)
+            REGISTRY.count("http_request", method=self.command, page=page, status=str(status))
+            log.info("request", extra={"method": self.command, "path": path, "status": status, "duration_ms": round(1000 * took, 2)})
             data = (body if isinstance(body, str) else json.dumps(body, ensure_ascii=False)).encode()
             self.send_response(status)
             self.send_header("content-type", "text/plain; version=0.0.4" if isinstance(body, str) else "application/json")
@@ -118,5 +124,5 @@ def handler(pipeline) -> type[BaseHTTPRequestHandler]:
 
 
 def serve(pipeline, port: int = 8000) -> None:
-    configure_logging()
+    log_as_json()
     ThreadingHTTPServer(("", port), handler(pipeline)).serve_forever()

@@ -6,7 +6,7 @@ import json
 import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import first_of, fold, noisy
@@ -108,10 +108,24 @@ def run(pipeline, labelled: DataFrame, pool: int = 100, path: str | None = None)
     return out
 
 
-def as_table(results: dict) -> str:
-    shown = ("recall@1", "recall@5", "recall@10", "mrr@10", "ndcg@10")
-    head = ["| system | " + " | ".join(shown) + " | latency/query |", "|---" * (len(shown) + 2) + "|"]
-    return "\n".join(head + [f"| {s} | " + " | ".join(f"{m[c]:.3f}" for c in shown) + f" | {results['latency_ms'][s]:.0f} ms |" for s, m in results["overall"].items()])
+def long(spark: SparkSession, results: dict) -> DataFrame:
+    """``system, metric, value`` of what ``run`` returns, or of a baseline of that form."""
+    rows = [(system, metric, float(value)) for system, of in results.get("overall", {}).items() for metric, value in of.items()]
+    return spark.createDataFrame(rows, "system string, metric string, value double")
+
+
+def markdown(rows: DataFrame, **formats: str) -> str:
+    """Small tables in the order of their rows, a column for each format."""
+    shown = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.format_string(f, F.col(f"`{c}`")) for c, f in formats.items())), F.lit(" |")).alias("line"))
+    return "\n".join(["| " + " | ".join(formats) + " |", "|" + "---|" * len(formats), *(r.line for r in shown.collect())])
+
+
+def as_table(spark: SparkSession, results: dict) -> str:
+    """The systems with their metrics and latency, in the order in which they ran."""
+    shown = [m for m in METRICS if m != "recall@20"]
+    rows = [(s, *(float(of[m]) for m in shown), float(results["latency_ms"][s])) for s, of in results["overall"].items()]
+    table = spark.createDataFrame(rows, "system string, " + ", ".join(f"`{m}` double" for m in shown) + ", `latency/query` double").coalesce(1)
+    return markdown(table, system="%s", **dict.fromkeys(shown, "%.3f"), **{"latency/query": "%.0f ms"})
 
 
 def gate(results: DataFrame, baseline: DataFrame, tolerance: float = TOLERANCE, primary: str = "hybrid+rerank") -> DataFrame:
@@ -127,22 +141,3 @@ def gate(results: DataFrame, baseline: DataFrame, tolerance: float = TOLERANCE,
     worse = both.select(text.alias("failure")).where("failure IS NOT NULL").distinct()
     recall = results.where(F.col("metric") == "recall@10").agg(F.max("value").alias("best"), F.coalesce(F.max(F.when(F.col("system") == primary, F.col("value"))), F.lit(0.0)).alias("own"))
     return worse.unionByName(recall.where("own < best").select(F.lit(f"{primary} is no longer the best system by recall@10").alias("failure")))
-
-
-def check(results: dict, baseline: dict, tolerance: float = TOLERANCE) -> list[str]:
-    """The same over the small dictionaries that ``run`` writes."""
-    found, out = results.get("overall", {}), []
-    for system, wanted in baseline.get("overall", {}).items():
-        if system not in found:
-            out.append(f"{system}: missing from results")
-            continue
-        for metric, value in wanted.items():
-            actual = found[system].get(metric)
-            if actual is None:
-                out.append(f"{system}.{metric}: missing")
-            elif actual < value - tolerance:
-                out.append(f"{system}.{metric}: {actual:.3f} < {value:.3f} - {tolerance}")
-    primary = baseline.get("primary", "hybrid+rerank")
-    if found and found.get(primary, {}).get("recall@10", 0) < max(m.get("recall@10", 0) for m in found.values()):
-        out.append(f"{primary} is no longer the best system by recall@10")
-    return out
