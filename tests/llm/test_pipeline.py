@@ -34,8 +34,8 @@ def test_columns_and_order(steps):
 
 
 def test_quality_keeps_what_scores_high(spark, steps):
-    model = cotraining.train(steps[0], table(spark, SF, "labels"))
-    keep = {r.doc_id for r in cotraining.score(steps[0], model).collect() if r.keep}
+    model, features = cotraining.train(steps[0], table(spark, SF, "labels"))
+    keep = {r.doc_id for r in cotraining.scored(features, model).collect() if r.keep}
     assert {r["doc_id"] for r in rows(steps[1])} == keep and 0 < len(keep) < steps[0].count()
     truth = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
     assert np.mean([(k in keep) == (q == 1) for k, q in truth.items()]) > 0.95

@@ -7,8 +7,8 @@ from trawl.llm.shared import table
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    model, features = cotraining.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotraining.scored(features, model)
 
 
 QUERIES = {"op4_quality": op4_quality}
