@@ -20,7 +20,8 @@ SHINGLE, ALIKE = 5, 0.8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return cotraining.kept_documents(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    model, _ = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.kept_documents(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
