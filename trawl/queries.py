@@ -8,17 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions import text as tx
 from trawl.functions.similarity import jaro_winkler_of
 from trawl.operators import graph
-from trawl.operators.dense import LSAEncoder, VectorIndex, nearest
+from trawl.operators.dense import nearest
 from trawl.operators.fusion import rrf
 from trawl.operators.lexical import BM25
-from trawl.operators.names import NameMatcher
 from trawl.operators.rerank import DEFAULT_WEIGHTS, FeatureReranker
 from trawl.operators.runs import ranked
 from trawl.plans import adjudicate, agent, answer, evaluate, export, observability
@@ -60,14 +58,14 @@ def grams_sql(x: str) -> str:
     return f"list_transform(range(1, greatest(length({f}) - 1, 1)), lambda k: substring({f}, k, 3))"
 
 
-def bm25_sql(name: str, k: int, k1: float = 1.5, b: float = 0.75) -> str:
+def bm25_sql(name: str, k: int, k1: float = 1.5, b: float = 0.75, docs: str = "documents", asks: str = "benchmark") -> str:
     """CTEs that end in ``name``: query_id, doc_id, score, rank."""
     return f"""
-{name}_d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents),
+{name}_d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM {docs}),
 {name}_n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_d),
 {name}_tf AS (SELECT doc_id, term, greatest(dl, 1) AS dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM {name}_d) GROUP BY ALL),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
-{name}_q AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark),
+{name}_q AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM {asks}),
 {name}_s AS (
   SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score
   FROM {name}_q JOIN {name}_tf USING (term) JOIN {name}_df USING (term), {name}_n GROUP BY query_id, doc_id),
@@ -224,13 +222,6 @@ def vector_topk(spark, sf_dir):
     return run.withColumn("score", F.round("score", 6))
 
 
-@query()
-def lsa_search(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    asked_for = table(spark, sf_dir, "part").select(F.col("p_type").alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
-    return VectorIndex(LSAEncoder(dim=32)).index(names).search(asked_for, 5).withColumn("score", F.round("score", 4))
-
-
 def rrf_sql(weights: tuple[float, float]) -> str:
     w, v = weights
     return f"""WITH {bm25_sql('a', 50)}, {bm25_sql('b', 50, 0.9, 0.2)}, f AS (
@@ -273,14 +264,6 @@ def trigram_jaccard(spark, sf_dir):
     return pairs.select("r_name", "p_type", F.round(tx.jaccard(tx.ngrams(F.col("r_name")), tx.ngrams(F.col("p_type"))), 6).alias("score"))
 
 
-@query()
-def name_match(spark, sf_dir):
-    """The query set: the distinct brands and types of parts, against the names of all parts."""
-    part = table(spark, sf_dir, "part")
-    q = part.select(F.concat_ws(" ", "p_type", "p_name").alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
-    return NameMatcher().given(part.select(F.col("p_name").alias("entity_id"), F.col("p_name").alias("raw")).distinct()).matches(q, 3)
-
-
 FEATURES_SQL = f"""{bm25_sql('run', 20)}, f0 AS (
   SELECT query_id, doc_id, rank - 1 AS prior_rank, list_distinct({tokens_sql('b.text')}) AS q, list_distinct({tokens_sql('d.text')}) AS t,
          {grams_sql('b.text')} AS a, {grams_sql("(d.lang || ' ' || d.source)")} AS c, lang
@@ -336,18 +319,19 @@ def eval_by_family(spark, sf_dir):
     return _means(spark, sf_dir).where("family IS NOT NULL")
 
 
-BASELINE = (("okapi", "recall_10", 0.99), ("flat", "recall_10", 0.0), ("gone", "mrr_10", 0.5), ("okapi", "other", 0.1))
+BASELINE = (("okapi", "recall@10", 1.1), ("flat", "recall@10", 0.0), ("gone", "mrr@10", 0.5), ("okapi", "other", 0.1))
 
 
-@query(f"""WITH {SCORED_SQL}, m AS (SELECT system, {MEANS_SQL} FROM scored GROUP BY system), v AS (SELECT system, 'recall_10' AS metric, recall_10 AS value FROM m UNION ALL SELECT system, 'mrr_10', mrr_10 FROM m),
+@query(f"""WITH {SCORED_SQL}, m AS (SELECT system, {MEANS_SQL} FROM scored GROUP BY system), v AS (SELECT system, 'recall@10' AS metric, recall_10 AS value FROM m UNION ALL SELECT system, 'mrr@10', mrr_10 FROM m),
 base(system, metric, value) AS (VALUES {', '.join(map(str, BASELINE))})
 SELECT CASE WHEN b.system NOT IN (SELECT system FROM v) THEN b.system || ': missing from results' WHEN v.value IS NULL THEN b.system || '.' || b.metric || ': missing'
             ELSE printf('%s.%s: %.3f < %.3f - 0.02', b.system, b.metric, v.value::DOUBLE, b.value::DOUBLE) END AS failure
-FROM base b LEFT JOIN v USING (system, metric) WHERE v.value IS NULL OR v.value < b.value - 0.02""")
+FROM base b LEFT JOIN v USING (system, metric) WHERE v.value IS NULL OR v.value < b.value - 0.02
+UNION ALL SELECT 'absent is no longer the best system by recall@10' WHERE (SELECT max(recall_10) FROM m) > 0""")
 def quality_gate(spark, sf_dir):
     m = _means(spark, sf_dir).where("family IS NULL")
-    results = m.select("system", F.explode(F.create_map(F.lit("recall_10"), "recall_10", F.lit("mrr_10"), "mrr_10")).alias("metric", "value"))
-    return evaluate.gate(results, spark.createDataFrame(list(BASELINE), "system string, metric string, value double"))
+    results = m.select("system", F.explode(F.create_map(F.lit("recall@10"), "recall_10", F.lit("mrr@10"), "mrr_10")).alias("metric", "value"))
+    return evaluate.gate(results, spark.createDataFrame(list(BASELINE), "system string, metric string, value double"), primary="absent")
 
 
 @query(f"""WITH {FEATURES_SQL}, {QRELS}, g AS (SELECT f.*, q.doc_id IS NOT NULL AS relevant, {SCORE_SQL} AS z FROM f LEFT JOIN qrels q USING (query_id, doc_id)),
@@ -358,11 +342,6 @@ def listwise_fit_loss(spark, sf_dir):
     return listwise_loss(rows, DEFAULT_WEIGHTS).select(F.round("loss", 6).alias("loss"))
 
 
-@query()
-def labelled_queries(spark, sf_dir):
-    return evaluate.build_queries(nodes_of(spark, sf_dir), 75)
-
-
 # Answers, agents, adjudication.
 
 
@@ -382,24 +361,16 @@ def investigate_evidence(spark, sf_dir):
     return agent.best_evidence(found).select("doc_id", F.round("score", 6).alias("score"), "query_id")
 
 
-@query()
-def plan_subqueries(spark, sf_dir):
-    def plans(batches):
-        for b in batches:
-            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "plan": [agent.plan(t or "") for t in b["text"]]})
-
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(plans, "conv_id long, turn long, plan array<string>")
-
-
 JUDGED_SQL = f"""{bm25_sql('run', 10)}, {QRELS}, dec AS (
-  SELECT item_id AS query_id, min(q.doc_id) AS match_id, CASE WHEN {FAMILY} = 'short' THEN 'high' ELSE 'low' END AS confidence FROM benchmark LEFT JOIN qrels q ON q.query_id = item_id GROUP BY item_id, text),
+  SELECT item_id AS query_id, CASE WHEN item_id % 4 = 1 THEN max(q.doc_id) + 1 ELSE min(q.doc_id) END AS match_id, CASE WHEN {FAMILY} = 'short' THEN 'high' ELSE 'low' END AS confidence FROM benchmark LEFT JOIN qrels q ON q.query_id = item_id GROUP BY item_id, text),
 after AS (SELECT query_id, doc_id, rank AS before, row_number() OVER (PARTITION BY query_id ORDER BY coalesce((doc_id = match_id)::INT, 0) DESC, rank) AS after FROM run LEFT JOIN dec USING (query_id)),
 gap AS (SELECT query_id, coalesce(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 'inf'::DOUBLE) AS gap FROM run GROUP BY query_id)"""
 
 
 def _decisions(spark, sf_dir):
-    """A stand-in for a judge: the relevant document with the smallest id."""
-    best = relevant(spark, sf_dir).groupBy("query_id").agg(F.min("doc_id").alias("match_id"))
+    """A stand-in for a judge: the relevant document with the smallest id, and for every fourth query the one after the largest."""
+    pick = F.when(F.first("query_id") % 4 == 1, F.max("doc_id") + 1).otherwise(F.min("doc_id"))
+    best = relevant(spark, sf_dir).groupBy("query_id").agg(pick.alias("match_id"))
     return asked(spark, sf_dir).join(best, "query_id", "left").select("query_id", "match_id", F.when(F.col("family") == "short", "high").otherwise("low").alias("confidence"))
 
 
@@ -423,7 +394,7 @@ def confidence_precision(spark, sf_dir):
   SELECT item_id, {FAMILY} AS family, match_id, EXISTS (SELECT 1 FROM after a JOIN qrels q USING (query_id, doc_id) WHERE a.query_id = item_id AND a.before = 1) AS b,
          EXISTS (SELECT 1 FROM after a JOIN qrels q USING (query_id, doc_id) WHERE a.query_id = item_id AND a.after = 1) AS z FROM benchmark JOIN dec ON query_id = item_id)
 SELECT family, count(*) AS queries, count(*) FILTER (WHERE z AND NOT b) AS fixed, count(*) FILTER (WHERE b AND NOT z) AS broke, count(*) FILTER (WHERE match_id IS NULL) AS abstained,
-       0::BIGINT AS picked_wrong, round(avg(b::INT), 2) AS share_before, round(avg(z::INT), 2) AS share_after FROM o GROUP BY ROLLUP (family)""")
+       count(*) FILTER (WHERE match_id IS NOT NULL AND (item_id, match_id) NOT IN (SELECT (query_id, doc_id) FROM qrels)) AS picked_wrong, round(avg(b::INT), 2) AS share_before, round(avg(z::INT), 2) AS share_after FROM o GROUP BY ROLLUP (family)""")
 def adjudication_outcome(spark, sf_dir):
     return adjudicate.summary(adjudicate.outcome(bm25_run(spark, sf_dir, 10).cache(), _decisions(spark, sf_dir), relevant(spark, sf_dir), asked(spark, sf_dir)))
 
@@ -542,8 +513,4 @@ def name_clash(spark, sf_dir):
     return export.note_names(rows)
 
 
-@query()
-def vault_notes(spark, sf_dir):
-    return export.notes(nodes_of(spark, sf_dir), edges_of(spark, sf_dir))
-
-
+from trawl import queries_entities  # noqa: E402, F401  (registers more)
