@@ -1,6 +1,8 @@
 import os
 import random
 
+import pytest
+
 from trawl.llm import shared
 
 
@@ -25,9 +27,31 @@ def test_components_of_random_graphs_chains_and_hubs(spark):
     assert shared.connected_components(df.limit(0)).count() == 0
 
 
+class Session:
+    """As much of a session as names its folder."""
+
+    def __init__(self, master, runtime=None, static=None):
+        self.conf = self
+        self.sparkContext, self.master, self.runtime, self.static = self, master, runtime, static
+
+    def getConf(self):
+        return {"spark.checkpoint.dir": self.static} if self.static else {}
+
+    def get(self, key, default=None):
+        return self.runtime or default
+
+
+def test_the_shared_folder_is_the_one_that_the_session_names():
+    assert shared.shared_dir(Session("local[4]")) == shared.LOCAL_DEFAULT
+    assert shared.shared_dir(Session("spark://x", static="hdfs://y/z/")) == "hdfs://y/z"
+    assert shared.shared_dir(Session("local[2]", "file:///a", "b")) == "file:///a"
+    for master in ("spark://x", "local-cluster[3,2,100]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(Session(master))
+
+
 def test_tables_lie_in_the_shared_folder_and_go(spark, tmp_path, monkeypatch):
-    assert shared.shared_dir(spark) == shared.LOCAL_DEFAULT  # this session sets none
-    monkeypatch.setattr(shared, "LOCAL_DEFAULT", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}/shared")
     monkeypatch.setattr(shared, "_made", [])
     made = shared.written(spark.range(5).toDF("x"), "tag")
     assert made.count() == 5 and len(os.listdir(tmp_path / "shared")) == 1

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 import numpy as np
@@ -16,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only when the session has no ``spark.checkpoint.dir``.
+#: Used only when the session has no ``spark.checkpoint.dir`` and runs in one process.
 LOCAL_DEFAULT = "/tmp/checkpoints/trawl"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can read and write."""
+    """The folder that the driver and all executors can read and write. Only a session within one process may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
     return (folder or LOCAL_DEFAULT).rstrip("/")
 
 
