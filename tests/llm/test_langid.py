@@ -21,14 +21,14 @@ def test_only_letters_are_letters():
     model = langid.Model(["en"], {}, np.zeros((0, 1)), {}, np.zeros((0, 1)), np.zeros(1))
     for text in ("½ ²", "Ⅷ ⅓ ①", "12_3 — ₤", "٣", ""):
         assert model.predict(text) == ("und", 0.0)
-    assert langid.LETTERS.findall("a½b Ⅷé 漢字 ไทย ǅ") == ["a", "b", "é", "漢字", "ไทย", "ǅ"]
+    assert langid.words_of("A½b Ⅷé 漢字 ไทย É") == ["a", "b", "é", "漢字", "ไทย", "é"] and langid.words_of("a_1b") == ["a", "b"]
 
 
 def brute_force(rows, langs, text):
     """The definition, without tables, parts or memory: all words and n-grams are known."""
     words, grams, prior = Counter(), Counter(), Counter(c for _, _, c in rows if c)
     for _, t, c in rows:
-        for w in langid.LETTERS.findall((t or "").lower()) if c else []:
+        for w in langid.words_of(t or "") if c else []:
             words[c, w] += 1
             grams.update((c, g) for g in langid.grams(w))
     vocabulary, seen = {w for _, w in words}, {g for _, g in grams}
@@ -40,7 +40,7 @@ def brute_force(rows, langs, text):
     scores = []
     for lang in langs:
         total = math.log(prior[lang] / sum(prior.values()))
-        for w in langid.LETTERS.findall(text.lower()):
+        for w in langid.words_of(text):
             if w in vocabulary:
                 total += log_of(words, lang, w, lambda _: True)
                 continue
@@ -70,7 +70,7 @@ def test_counts_equal_brute_force(spark, monkeypatch):
     words, grams = Counter(), Counter()
     for _, text, lang in rows:
         if text and lang:
-            for w in langid.LETTERS.findall(text.lower()):
+            for w in langid.words_of(text):
                 words[lang, w] += 1
                 for g in langid.grams(w):
                     grams[lang, g] += 1

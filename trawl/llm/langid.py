@@ -45,9 +45,16 @@ LONGEST_WORD, PART = 40, 16_384
 #: Unseen words that a worker remembers, and counters that a task holds before it hands them on.
 REMEMBERED, HELD = 400_000, 400_000
 SMOOTH = 0.5
-#: Letters only: ``\w`` also takes numbers that are no digits, such as fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case. The pattern also takes numbers that are no digits, such as
+    fractions and Roman numerals: the few runs that have some are cut there."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ((run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def is_held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -61,7 +68,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                counts.setdefault(lang.as_py(), Counter()).update(LETTERS.findall(text.as_py().lower()))
+                counts.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
             if sum(map(len, counts.values())) > HELD:
                 yield table(counts)
                 counts = {}
@@ -158,7 +165,7 @@ class Model:
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = LETTERS.findall(text.lower()) if text else []
+        found = words_of(text) if text else []
         if not found or not self.langs:
             return "und", 0.0
         if len(self.kept) > len(self.words) + REMEMBERED:
