@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     for bad in (lambda x: x.isNull(), lambda x: x.isNaN(), lambda x: F.abs(x) == float("inf")):
         fine &= ~F.exists("v", bad)
     fine = F.coalesce(fine & F.exists("v", lambda x: x != 0), F.lit(False))
-    kind = "<f8" if isinstance(rows.schema["v"].dataType.elementType, T.DoubleType) else "<f4"
+    kind = "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"  # whole and decimal numbers too are compared as doubles
     as_kind = F.when(fine, F.col("v").cast("array<double>" if kind == "<f8" else "array<float>"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
