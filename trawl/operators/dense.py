@@ -1,8 +1,10 @@
 """Dense search: exact cosine over unit vectors, and the encoders that make them.
 
 The default encoder is latent semantic analysis: TF-IDF over words and character
-trigrams, reduced by a truncated singular value decomposition. The vocabulary is
-bounded (``max_features``, most frequent first), and so is what is broadcast. The
+trigrams, reduced by a truncated singular value decomposition. Every feature of
+``min_df`` texts or more counts, unless the caller sets ``max_features`` (the most
+frequent then). What is broadcast has a row for each feature: beyond ``MOST``
+features nothing is dropped in silence, and ``fit`` asks for a bound instead. The
 decomposition is a randomised one (Halko, Martinsson, Tropp 2011): each pass is a
 sum over documents of small dense blocks, added up in a tree; only matrices of
 features by components reach the driver.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from trawl.functions.text import ngrams, tokenize
 from trawl.operators.runs import ranked, spread
 
-#: Queries that a task holds as one matrix.
-QUERY_BLOCK = 4096
+#: Queries that a task holds as one matrix; features that are broadcast without a bound of the caller's.
+QUERY_BLOCK, MOST = 4096, 500_000
 
 
 class Encoder(Protocol):
@@ -41,7 +43,7 @@ class LSAEncoder:
 
     name = "tfidf-svd"
 
-    def __init__(self, dim: int = 256, min_df: int = 2, max_features: int = 50_000, passes: int = 3, oversample: int = 16, seed: int = 0):
+    def __init__(self, dim: int = 256, min_df: int = 2, max_features: int | None = None, passes: int = 3, oversample: int = 16, seed: int = 0):
         self.dim, self.min_df, self.max_features, self.passes, self.oversample, self.seed = dim, min_df, max_features, passes, oversample, seed
         self.vocab: dict[str, int] = {}
         self.idf = self.components = None
@@ -54,7 +56,10 @@ class LSAEncoder:
     def fit(self, texts: DataFrame) -> LSAEncoder:
         found = self.features(texts)
         df = found.select(F.explode(F.array_distinct("features")).alias("f")).groupBy("f").agg(F.count("*").alias("df")).where(F.col("df") >= self.min_df)
-        top = sorted((r.f, r.df) for r in df.orderBy(F.desc("df"), "f").limit(self.max_features).collect())
+        if self.max_features is None and df.limit(MOST + 1).count() > MOST:
+            raise ValueError(f"over {MOST} features; set max_features or a larger min_df")
+        few = df if self.max_features is None else df.orderBy(F.desc("df"), "f").limit(self.max_features)
+        top = sorted((r.f, r.df) for r in few.collect())
         n = texts.count()
         self.vocab = {f: k for k, (f, _) in enumerate(top)}
         self.idf = np.log((1 + n) / (1 + np.array([d for _, d in top], float))) + 1 if top else np.zeros(0)
