@@ -1,4 +1,5 @@
 import random
+import types
 
 import public_tokenizers
 import pytest
@@ -29,3 +30,27 @@ def test_random_texts_and_odd_ones(name):
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert own(text) == own.packed(want.ids), repr(text)
         assert lengths(text) == len(want.ids)
+
+
+def test_other_rules_of_the_same_shape_go_to_the_library(tmp_path):
+    import json
+
+    changes = {
+        "byte_bpe_50k.json": [(("pre_tokenizer", "add_prefix_space"), True), (("pre_tokenizer", "use_regex"), False), (("normalizer",), {"type": "Lowercase"}), (("model", "ignore_merges"), True)],
+        "word_bpe_49k.json": [(("pre_tokenizer", "pretokenizers", 0, "pattern", "Regex"), r"[\\p{L}]+|[\\p{N}]+"), (("pre_tokenizer", "pretokenizers", 0, "invert"), False), (("normalizer", "normalizers", 1, "content"), "_"), (("normalizer", "normalizers", 0, "type"), "NFKC")],
+    }
+    for name, each in changes.items():
+        spec = json.loads(open(public_tokenizers.path(name), encoding="utf-8").read())
+        for place, value in each:
+            changed = json.loads(json.dumps(spec))
+            at = changed
+            for key in place[:-1]:
+                at = at[key]
+            at[place[-1]] = value
+            stated = types.SimpleNamespace(to_str=lambda changed=changed: json.dumps(changed))
+            assert pretokens.kind_of(stated) is None, place
+        library = Tokenizer.from_str(json.dumps(changed))
+        library.save(str(tmp_path / name))
+        own = pretokens.Encoder(str(tmp_path / name))
+        for text in ("don't stop 123 Éa", "a  b\n", ""):
+            assert own(text) == own.packed(library.encode(text, add_special_tokens=False).ids)

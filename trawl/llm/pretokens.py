@@ -22,6 +22,17 @@ SPLITS = {
     "byte": f"{SHORT}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+",
     "word": f"{SHORT}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+",
 }
+# How tokenizer files state these two rules.
+RULES = {
+    "byte": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}},
+    "word": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+        ]},
+    },
+}
 BEYOND = re.compile("[^\u0000-ÿ]")
 
 #: Longer pre-tokens are encoded each time and never kept.
@@ -39,20 +50,23 @@ def byte_letters() -> dict[int, int]:
 
 
 def kind_of(tokenizer) -> str | None:
-    """Which of the split rules a tokenizer has; None: neither, so that each text goes to the library."""
+    """Which of the split rules a tokenizer has, to the letter; None: neither, so that each text goes to the library."""
     import json
 
     spec = json.loads(tokenizer.to_str())
-    split = spec.get("pre_tokenizer") or {}
-    if spec.get("truncation") or spec.get("padding") or spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    if not plain or any(spec.get(x) for x in ("truncation", "padding", "post_processor")):
         return None
-    if not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
-        return "byte"
-    parts = [x.get("type") for x in split.get("pretokenizers", [])]
-    norms = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    if parts == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"]:
-        return "word"
-    return None
+    rule = _without_offsets({"normalizer": spec.get("normalizer"), "pre_tokenizer": spec.get("pre_tokenizer")})
+    return next((kind for kind, known in RULES.items() if rule == known), None)
+
+
+def _without_offsets(x):
+    """Without what only moves the offsets of tokens."""
+    if isinstance(x, dict):
+        return {k: _without_offsets(v) for k, v in x.items() if k != "trim_offsets"}
+    return [*map(_without_offsets, x)] if isinstance(x, list) else x
 
 
 class Encoder:
