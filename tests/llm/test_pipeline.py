@@ -82,3 +82,23 @@ def test_entry_names_and_sql():
     found = queries()
     assert [n for n in sorted(found) if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in found if n.startswith("op")} == set(range(1, 11))
     assert "pipeline" in found and set(oracle_sql()) <= set(found)
+
+
+def test_odd_rows_further_columns_and_empty_tables(spark, tmp_path):
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "en", "a", 5, "x"), (2, text + " more", "en", "a", 5, "y"), (3, None, None, None, None, None), (4, "", "en", None, 0, "x"), (None, f'it says token = "{secret}" here', None, "b", 9, "x"), (1, "another text of the same id", "de", "b", 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    steps = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(written(stage(spark, steps[-1], str(tmp_path)), "test"))
+    assert all(d.columns == docs.columns for d in steps[:5]) and steps[1].count() == len(rows)
+    kept = sorted((str(r.doc_id), r.text or "") for r in steps[2].collect())
+    assert kept == sorted([("1", text), ("3", ""), ("None", rows[4][1]), ("1", rows[5][1])])
+    assert [r.text for r in steps[3].where("doc_id IS NULL").collect()] == ['it says token = "[SECRET]" here']
+    assert {r.score for r in steps[4].collect()} <= {"x", None} and steps[5].count() >= steps[4].count()
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
