@@ -3,6 +3,14 @@
 Each stage takes what its predecessor kept, as a table, and each calls one
 operator of the ``llm`` subpackage. The first four return the columns of
 ``documents``; the last returns the packed pieces.
+
+Nulls, empty and odd input: a null text counts as empty, is kept by a classifier
+that cannot learn, is a near-duplicate of any other text without words, holds no
+secret, weighs nothing in the mix and, where the mix takes it, is packed as one
+end-of-document id; null metadata are values of their own; rows that repeat an id are told apart by their
+words; empty ``documents`` give empty results, and without ``labels`` of both
+classes every document is kept; further columns pass through the first four
+stages unchanged, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,6 +14,10 @@ from trawl.operators.rerank import get_reranker
 from trawl.sources.records import Store
 
 
+#: Searches whose fused pools stay persisted.
+HELD = 8
+
+
 class Pipeline:
     """``search`` is one lazy plan over a batch of ``query_id, query``; a single question is a batch of one."""
 
@@ -25,6 +29,7 @@ class Pipeline:
         self.names = NameMatcher().index(entities) if names else None
         self.hybrid = Hybrid(self.bm25, self.vectors, self.names)
         self.reranker = get_reranker(self.names, learned, weights_path, pair_model)
+        self.held: list[DataFrame] = []
 
     @classmethod
     def build(cls, spark: SparkSession, path: str, **options) -> Pipeline:
@@ -36,11 +41,18 @@ class Pipeline:
 
     def search(self, queries: DataFrame | str, k: int = 10, pool: int = 100, expand: bool = False, hops: int = 1) -> DataFrame:
         queries = self.queries(queries) if isinstance(queries, str) else queries
-        # The fused pool is read by several features; it has ``pool`` rows for each query at most.
+        # The fused pool is read by several features; it has ``pool`` rows for each query at most. A run whose pool has been let go makes it again.
         fused = self.hybrid.search(queries, k=pool, pool=pool).persist()
+        self.held.append(fused)
+        self.release(HELD)
         run = self.reranker.rerank(queries, fused, self.entities, k)
         return graph.expand(run, self.relations, self.entities, hops) if expand else run
 
+    def release(self, keep: int = 0) -> None:
+        """Lets go of all persisted pools but the ``keep`` latest."""
+        while len(self.held) > keep:
+            self.held.pop(0).unpersist()
+
     def hits(self, run: DataFrame) -> DataFrame:
         """A run with the fields that a caller sees; unknown ids are dropped, scores rounded."""
         fields = self.entities.select(F.col("id").alias("doc_id"), "caption", "schema", "countries", "topics", "datasets")
