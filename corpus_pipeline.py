@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import cotraining, mixing, packing, secretscan, simhash_similar
-from trawl.llm.shared import table, written
+from trawl.llm.shared import table, tidied, written
 
 #: Words of a shingle, and the similarity from which documents are near-duplicates.
 SHINGLE, ALIKE = 5, 0.8
@@ -39,7 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a placeholder."""
-    clean = secretscan.redacted(docs)
+    model = secretscan.scanner(docs)
+    tidied(spark)  # training is many queries, and the scan is a large one
+    clean = secretscan.redacted(docs, model)
     length = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
     return clean.select(*(length.alias(c) if c == "n_chars" else c for c in docs.columns))
 

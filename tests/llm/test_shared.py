@@ -60,3 +60,16 @@ def test_tables_lie_in_the_shared_folder_and_go(spark, tmp_path, monkeypatch):
     shared.written(spark.range(0).toDF("x"), "tag")
     shared.release(spark)
     assert os.listdir(tmp_path / "shared") == []
+
+
+def test_few_edges_take_one_task_and_have_the_same_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k + 1, k) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5), (None, 1), (-7, 1200)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    want = {r.node: r.component for r in shared.connected_components(df).collect()}
+    for most in (10_000, 300, 1):  # the last two begin with rounds
+        got = shared.connected_components(df, alone=most).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert shared.connected_components(df.limit(0), alone=10).count() == 0
+    names = df.selectExpr("CAST(a AS STRING) AS a", "CAST(b AS STRING) AS b")
+    assert shared.connected_components(names, alone=10_000).count() == len(want)

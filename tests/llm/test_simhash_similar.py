@@ -101,3 +101,14 @@ def test_equal_fingerprints_of_repeats_do_not_join_different_texts(spark):
     assert len({sim.print_of(sim.shingle_hashes(sim.words_of(t), 5)) for _, t in rows}) == 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in sim.one_of_each(df).collect()} == {0, 1, 2, 3}
+
+
+def test_a_long_chain_takes_the_driver_no_more_jobs_than_a_short_one(spark):
+    """Each job costs the driver threads and heap, of which it has little."""
+    jobs, n = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs, []
+    for length in (3, 90):
+        rows = [(k, " ".join(f"w{j}" for j in range(3 * k, 3 * k + 60))) for k in range(length)]
+        docs, before = spark.createDataFrame(rows, "doc_id long, text string"), jobs()
+        assert {r.component_id for r in sim.similar(docs).collect()} == {0}
+        n.append(jobs() - before)
+    assert n[1] <= n[0] + 10

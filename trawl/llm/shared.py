@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +76,13 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, name.rpartition("/")[0])
 
 
+def tidied(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark then deletes the shuffle files and broadcasts of queries
+    that ended, and the driver's heap shrinks, which many small queries otherwise fill to its limit."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,7 +108,21 @@ def stars(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.nda
         label = new
 
 
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges ``a, b``, ascending, and the smallest node that each of them reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[label]
+
+
+def connected_components(edges: DataFrame, tag: str = "components", alone: int = 0) -> DataFrame:
     """Smallest reachable node for every node of an undirected graph.
 
     ``edges`` has two columns of one orderable type, ``a`` and ``b``, in any
@@ -110,11 +134,17 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     quickly and no step holds the neighbours of a node in one place. Each
     round is written to the shared folder; both sides of its joins are plain
     scans, so that Spark can split the rows of a hub.
+
+    Up to ``alone`` edges between long integers take one task instead of rounds,
+    whose many queries cost the driver more than the edges cost a task.
     """
     once = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     now = written(once, tag)
     seen = _checksum(now)
+    longs = all(isinstance(f.dataType, T.LongType) for f in now.schema)
     while seen[0]:
+        if longs and seen[0] <= alone:
+            return now.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
         least = written(now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), tag)
         large = written(
             now.join(least, now.lo == least.node, "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), tag
@@ -135,6 +165,13 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     )
 
 
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[batch.column(c).to_numpy() for c in (0, 1)] for batch in batches]
+    if parts:
+        found = labelled(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "component"])
+
+
 def _checksum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     return row[0], row[1]

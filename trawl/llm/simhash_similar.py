@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.shared import connected_components, dropped, schema_of, stars, written
+from trawl.llm.shared import connected_components, dropped, schema_of, stars, tidied, written
 from trawl.llm.simhash import SEED, links
 
 #: Probability that the search misses a pair exactly at the threshold; min-hashes of a key.
@@ -53,6 +53,8 @@ MISS, ROWS = 1e-7, 3
 MOST = 32
 #: Rows and hashes of a side of a block, and columns of its matrices at once.
 BLOCK_ROWS, BLOCK_HASHES, COLUMNS = 1_024, 250_000, 1_024
+#: Edges up to which one task finds the components (16 MB); more take rounds of joins.
+EDGES = 1_000_000
 #: Places of the bitmap that picks texts out (4 MB). A corpus that fills it shuffles more texts and finds the same.
 BITS, BUCKET = 1 << 25, 1 << 15
 #: Rows described at once, and shingles hashed at once.
@@ -212,11 +214,13 @@ def _grouped(docs: DataFrame, least: float, shingle: int, id_col: str, text_col:
     unnumbered = written(once, "similar-once")
     distinct = written(unnumbered.withColumn("k", F.monotonically_increasing_id()), "similar-distinct")
     dropped(unnumbered)
+    tidied(docs.sparkSession)
     edges = _Search(texts, distinct, least, shingle, needed).edges()
-    of_text = written(connected_components(edges, "similar-components"), "similar-of")
+    of_text = written(connected_components(edges, "similar-components", EDGES), "similar-of")
     group = distinct.select("k", "whole", "least").join(of_text, F.col("k") == F.col("node"), "left")
     group = written(group.select("whole", "least", F.coalesce("component", "k").alias("component")), "similar-groups")
     dropped(distinct)
+    tidied(docs.sparkSession)
     return rows.select("id", "whole"), group
 
 
@@ -251,6 +255,7 @@ class _Search:
         by_print = written(self.distinct.groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("texts")), "similar-prints")
         first = by_print.select("fp", "first")
         found = written(links(by_print), "similar-links")
+        tidied(found.sparkSession)
         ends = found.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         same = self.distinct.select("fp", "k").join(by_print.where("texts > 1").select("fp", "first"), "fp").where("k <> first")
         return ends.unionByName(same.select(F.col("k").alias("a"), F.col("first").alias("b")))
@@ -274,6 +279,7 @@ class _Search:
         found = written(both.where(common >= self.least * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "similar-found")
         for x in (near, sets):
             dropped(x)
+        tidied(found.sparkSession)
         return found
 
     def fit(self, n: str, m: str) -> Column:
@@ -306,7 +312,7 @@ class _Search:
 
     def open_groups(self, member: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The members with their components ``c``, and the keys whose members lie in several: the largest, and how many lie outside of it."""
-        of = written(connected_components(edges, "similar-components"), "similar-of")
+        of = written(connected_components(edges, "similar-components", EDGES), "similar-of")
         placed = written(member.join(of, member.k == of.node, "left").select("key", "k", "n", F.coalesce("component", "k").alias("c")), "similar-placed")
         sizes = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("big"), (F.sum("size") - F.max("size")).alias("outside"))
         return placed, written(sizes.where("outside > 0"), "similar-open")
@@ -336,6 +342,7 @@ class _Search:
         right = crowd.select("key", "k", all_of("ps").alias("p"), own("qs").alias("q"), F.lit(True).alias("right"))
         sets = self.sets(crowd.select("k").distinct())
         dealt = written(left.unionByName(right), "similar-dealt")
+        tidied(dealt.sparkSession)
         return dealt.join(sets, "k").groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
 
 
